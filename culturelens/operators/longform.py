@@ -10,29 +10,16 @@ one row per column and task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def to_long(
-    df: DataFrame,
-    columns: Sequence[str],
-    keep: Sequence[str] = (),
-    extras: Mapping[str, Mapping[str, Column]] | None = None,
-) -> DataFrame:
-    """Rows ``(keep..., feature, x, extras...)``, one per input row and column.
-
-    ``extras`` adds named literals per column, e.g. bounds to count against.
-    """
-    extras = extras or {}
+def to_long(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """Rows ``(keep..., feature, x)``, one per input row and column."""
     entries = F.array(*[
-        F.struct(
-            F.lit(name).alias("feature"),
-            F.col(f"`{name}`").cast("double").alias("x"),
-            *[value.alias(label) for label, value in extras.get(name, {}).items()],
-        )
+        F.struct(F.lit(name).alias("feature"), F.col(f"`{name}`").cast("double").alias("x"))
         for name in columns
     ])
     return df.select(*keep, F.inline(entries))

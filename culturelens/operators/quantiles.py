@@ -120,19 +120,28 @@ def _select(df, columns, ranks, fractions) -> dict[str, list[float | None]]:
 def _resolve(df, targets, limits) -> None:
     """One pass: settle the brackets that are small enough, narrow the others."""
     open_columns = [c for c, found in targets.items() if any(t.value is None for t in found)]
-    slots = max(len(targets[c]) for c in open_columns)
-    extras = {}
-    for c in open_columns:
-        labels = {}
-        for i, t in enumerate(targets[c]):
-            labels[f"low{i}"], labels[f"high{i}"] = F.lit(t.low), F.lit(t.high)
-            labels[f"list{i}"] = F.lit(t.value is None and t.inside <= INSIDE_LIMIT)
-        extras[c] = labels
+    slots = range(max(len(targets[c]) for c in open_columns))
     narrow = any(
         t.value is None and t.inside > INSIDE_LIMIT for c in open_columns for t in targets[c]
     )
+    # One row per column: a broadcast that grows with the table's width only.
+    brackets = df.sparkSession.createDataFrame(
+        [
+            (c, *[
+                part
+                for t in targets[c]
+                for part in (t.low, t.high, t.k0, t.k1,
+                             t.value is None and t.inside <= INSIDE_LIMIT)
+            ])
+            for c in open_columns
+        ],
+        "feature string, " + ", ".join(
+            f"low{i} double, high{i} double, k0_{i} bigint, k1_{i} bigint, list{i} boolean"
+            for i in slots
+        ),
+    )
     measures = []
-    for i in range(slots):
+    for i in slots:
         x, low, high = F.col("x"), F.col(f"low{i}"), F.col(f"high{i}")
         within = (x > low) & (x < high)
         measures += [
@@ -141,30 +150,28 @@ def _resolve(df, targets, limits) -> None:
             F.count_if(x < high).alias(f"under_high{i}"),
             F.count_if(x <= high).alias(f"upto{i}"),
             F.sort_array(F.collect_list(F.when(within & F.col(f"list{i}"), x))).alias(f"in{i}"),
+            F.first(f"k0_{i}").alias(f"k0_{i}"),
+            F.first(f"k1_{i}").alias(f"k1_{i}"),
         ]
         if narrow:
             grid = F.array(*[F.lit(g / GRID) for g in range(GRID + 1)])
             measures.append(
                 F.percentile_approx(F.when(within, x), grid, SKETCH).alias(f"marks{i}")
             )
-    counted = to_long(df, open_columns, extras=extras).groupBy("feature").agg(*measures)
-    picks = F.create_map(*[
-        part
-        for c in open_columns
-        for part in (
-            F.lit(c),
-            F.array(*[F.array(F.lit(t.k0), F.lit(t.k1)) for t in targets[c]]),
-        )
-    ])
-    ranks = F.element_at(picks, F.col("feature"))
+    counted = (
+        to_long(df, open_columns)
+        .join(F.broadcast(brackets), "feature")
+        .groupBy("feature")
+        .agg(*measures)
+    )
     chosen = counted.select(
         "feature",
         *[c for c in counted.columns if c.startswith(("under", "upto", "marks"))],
         *[
-            F.get(F.col(f"in{i}"), (ranks[i][j] - F.col(f"upto_low{i}")).cast("int")).alias(
-                f"v{i}_{j}"
+            F.get(f"in{i}", (F.col(f"{k}_{i}") - F.col(f"upto_low{i}")).cast("int")).alias(
+                f"{k}_value{i}"
             )
-            for i in range(slots) for j in (0, 1)
+            for i in slots for k in ("k0", "k1")
         ],
     )
     for row in chosen.collect():
@@ -188,7 +195,7 @@ def _settle(t: _Target, row, i: int, limits: tuple[float, float]) -> None:
             return t.low
         return t.high if k >= under_high else listed
 
-    v0, v1 = at(t.k0, row[f"v{i}_0"]), at(t.k1, row[f"v{i}_1"])
+    v0, v1 = at(t.k0, row[f"k0_value{i}"]), at(t.k1, row[f"k1_value{i}"])
     if v0 is not None and v1 is not None:
         t.value = _interpolate(v0, v1, t.weight)
         return

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culturelens import fixed
+from culturelens.operators.longform import to_long
 
 VECTOR = "_features"
 
@@ -75,21 +76,26 @@ def fit_ridge(
     return _line("Ridge", features, model.coefficients, model.intercept)
 
 
-def fit_line(train: DataFrame, feature: str, label: str, alpha: float = 0.0) -> tuple[float, float]:
-    """Slope and intercept for a single feature, ridge-penalised by ``alpha``.
+def fit_lines(
+    train: DataFrame, features: Sequence[str], label: str, alpha: float = 0.0
+) -> dict[str, tuple[float, float]]:
+    """Slope and intercept of each feature on its own, ridge-penalised by ``alpha``.
 
-    One aggregate, without vectors; a constant feature has slope 0.
+    One grouped aggregate for all features; a constant feature has slope 0.
     """
-    row = train.agg(
-        F.covar_pop(feature, label).alias("cxy"),
-        F.var_pop(feature).alias("vx"),
-        F.avg(feature).alias("mx"),
+    rows = to_long(train, features, keep=[label]).groupBy("feature").agg(
+        F.covar_pop("x", label).alias("cxy"),
+        F.var_pop("x").alias("vx"),
+        F.avg("x").alias("mx"),
         F.avg(label).alias("my"),
         F.count(label).alias("n"),
-        (F.min(feature) < F.max(feature)).alias("varies"),
-    ).first()
-    slope = row.n * row.cxy / (row.n * row.vx + alpha) if row.varies else 0.0
-    return slope, row.my - slope * row.mx
+        (F.min("x") < F.max("x")).alias("varies"),
+    )
+    lines = {}
+    for row in rows.collect():
+        slope = row.n * row.cxy / (row.n * row.vx + alpha) if row.varies else 0.0
+        lines[row.feature] = (slope, row.my - slope * row.mx)
+    return lines
 
 
 def _trees(name: str, model, features: Sequence[str]) -> Regressor:
