@@ -67,7 +67,11 @@ def r6(expression: str, name: str | None = None) -> str:
 
 
 def shown(names: list[str]) -> str:
-    return ", ".join(r6(n) for n in names)
+    # Cell counts are around ten million: their sixth decimal is noise.
+    return ", ".join(
+        r6(n) if n != "Cell_Concentration_cells_mL" else f"round({n}, 0) + 0e0 as {n}"
+        for n in names
+    )
 
 
 def union_all(parts) -> str:
@@ -211,8 +215,8 @@ def scaled(frame: str, source: str) -> str:
     return f"{frame} as (select row_id, {xs}, (Biomass_g_L - my) / sy as v, my, sy from {source}, quartiles)"
 
 
-def least_squares(alpha: str) -> str:
-    """Cramer's rule on the covariance matrix of three features, alpha on the diagonal."""
+def cramer(alpha: str) -> tuple[str, str]:
+    """Moments and slopes by Cramer's rule for three features, alpha on the diagonal."""
     moments = ", ".join(
         [f"count(*) * covar_pop(x{i}, x{j}) {'+ ' + alpha if i == j else ''} as c{i}{j}"
          for i in (1, 2, 3) for j in (1, 2, 3)]
@@ -229,6 +233,11 @@ def least_squares(alpha: str) -> str:
         )
 
     slopes = ", ".join(f"{determinant(k)} / {determinant(None)} as w{k}" for k in (1, 2, 3))
+    return moments, slopes
+
+
+def least_squares(alpha: str) -> str:
+    moments, slopes = cramer(alpha)
     chain = ",\n".join([
         SPLIT_CHAIN, QUARTILES, scaled("block", "inner_train"), scaled("unseen", "validation"),
         f"moments as (select {moments} from block)",
@@ -238,6 +247,70 @@ def least_squares(alpha: str) -> str:
     return f"with {chain}\nselect row_id, {r6(f'({line}) * sy + my', 'predicted')} from unseen, solved"
 
 
+# The whole run on the three leading features, whichever these turn out to be.
+def _value_of(k: int, source: str) -> str:
+    cases = " ".join(f"when '{c}' then {source}.{c}" for c in CANDIDATES)
+    return f"case (select feature from chosen where k = {k}) {cases} end as f{k}"
+
+
+def _whole_run() -> str:
+    parts = [
+        SELECT_CHAIN, HELD,
+        """chosen as (select feature,
+  row_number() over (order by votes desc, abs_r desc nulls last, feature) as k
+  from votes where votes > 0)""",
+        "picked as (select row_id, Scenario, Biomass_g_L as y, {} from clipped)".format(
+            ", ".join(_value_of(k, "clipped") for k in (1, 2, 3))
+        ),
+        "picked_train as (select * from picked where Scenario not in (select Scenario from held))",
+        "fit_scale as (select avg(y) as my, stddev_pop(y) as sy, {} from picked_train)".format(
+            ", ".join(
+                f"quantile_cont(f{k}, {p}) as q{k}_{n}"
+                for k in (1, 2, 3) for n, p in (("a", 0.25), ("b", 0.5), ("c", 0.75))
+            )
+        ),
+        "points as (select row_id, Scenario, y, (y - my) / sy as v, my, sy, {}"
+        " from picked, fit_scale)".format(", ".join(
+            f"(f{k} - q{k}_b) / case when q{k}_c = q{k}_a then 1e0 else q{k}_c - q{k}_a end as x{k}"
+            for k in (1, 2, 3)
+        )),
+        "block as (select * from points where Scenario not in (select Scenario from held)"
+        f" and not {IS_INNER})",
+    ]
+    lines = []
+    for name, alpha in (("Linear", "0e0"), ("Ridge", "1e2")):
+        moments, slopes = cramer(alpha)
+        parts.append(f"moments_{name} as (select {moments} from block)")
+        renamed = slopes
+        for k in (1, 2, 3):
+            renamed = renamed.replace(f" as w{k}", f" as {name}_w{k}")
+        parts.append(
+            f"solved_{name} as (select {renamed}, mv as {name}_mv,"
+            f" {', '.join(f'm{k} as {name}_m{k}' for k in (1, 2, 3))} from moments_{name})"
+        )
+        line = " + ".join(f"{name}_w{k} * (x{k} - {name}_m{k})" for k in (1, 2, 3))
+        lines.append(f"{name}_mv + {line} as s_{name}")
+    parts += [
+        f"all_scored as (select row_id, Scenario, y, v, my, sy, {', '.join(lines)}"
+        " from points, solved_Linear, solved_Ridge)",
+        "inner_errors as (select avg((v - s_Linear) * (v - s_Linear)) as e_Linear,"
+        " avg((v - s_Ridge) * (v - s_Ridge)) as e_Ridge from all_scored"
+        f" where Scenario not in (select Scenario from held) and {IS_INNER})",
+        """unscaled as (select row_id, Scenario, y, s_Linear * sy + my as pred_Linear,
+  s_Ridge * sy + my as pred_Ridge,
+  (s_Linear / e_Linear + s_Ridge / e_Ridge) / (1e0 / e_Linear + 1e0 / e_Ridge) * sy + my
+    as pred_Ensemble
+  from all_scored, inner_errors)""",
+        "combined as (select * from unscaled where Scenario in (select Scenario from held))",
+        """measured as ({}),
+metrics as (select *, case when r2 > 0.99 then 'HIGH' when r2 > 0.97 then 'MEDIUM'
+  else 'LOW' end as risk from measured)""".format(
+            union_all(_metric_row(i, m) for i, m in enumerate(["Linear", "Ridge", "Ensemble"]))
+        ),
+    ]
+    return "with " + ",\n".join(parts)
+
+
 def _line_row(feature: str, alpha: float) -> str:
     slope = (
         f"count(*) * covar_pop({feature}, Biomass_g_L) / (count(*) * var_pop({feature}) + {alpha!r})"
@@ -423,6 +496,13 @@ curve as (select cast(i as int) as point, low + (high - low) * i / 9.9e1 as x, m
 select point, {r6('x')}, {r6('exp(-((x - mean) / deviation) * ((x - mean) / deviation) / 2e0)'
                             ' / (deviation * sqrt(2e0 * pi()))', 'density')},
   {r6('mean')}, {r6('deviation')} from curve""",
+        "closed_form_run": f"{_whole_run()}\nselect model,"
+        f" {shown(['r2', 'rmse', 'mae', 'mape', 'nse', 'bias'])}, risk from metrics",
+        "score_raw_rows": f"{_whole_run()}\nselect row_id, Scenario,"
+        f" {shown(['pred_Linear', 'pred_Ridge', 'pred_Ensemble'])} from unscaled",
+        "run_report": f"{_whole_run()}, best as (select * from metrics"
+        f" order by r2 desc, position limit 1)\nselect model as best_model, {r6('r2')},"
+        f" {r6('rmse')}, risk, 2 as n_leaks_removed, 3 as n_features from best",
         "multi_metric": f"with {METRIC_CHAIN}\nselect model, {r6('r2')}, {r6('nse')}"
         " from metrics where position < 4",
     }
