@@ -11,9 +11,12 @@ def as_column(value: Column | str) -> Column:
 
 
 def finite(value: Column | str) -> Column:
-    """The value as a double, or null where it is NaN or infinite."""
+    """The value as a double, or null where it is NaN or infinite.
+
+    Spark orders NaN above infinity, so one comparison finds both.
+    """
     number = as_column(value).cast("double")
-    return F.when(~F.isnan(number) & (F.abs(number) < F.lit(float("inf"))), number)
+    return F.when(F.abs(number) < F.lit(float("inf")), number)
 
 
 def zero_filled(value: Column | str) -> Column:

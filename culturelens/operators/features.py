@@ -22,31 +22,41 @@ OPTIONAL = (
 )
 
 
-def base_features(roles: Roles = DEFAULT_ROLES, nutrients: bool = True) -> dict[str, Column]:
-    """Always-on features in order; later ones refer to earlier ones by name."""
-    found = {
+def feature_steps(
+    roles: Roles = DEFAULT_ROLES, nutrients: bool = True
+) -> list[dict[str, Column]]:
+    """Always-on features in steps: a step may use the columns of earlier ones."""
+    responses = {
         "light_efficiency": bio.light_efficiency(roles.light),
         "photoinhibition": bio.photoinhibition(roles.light),
         "temperature_effect": bio.temperature_effect(roles.temperature),
         "ph_effect": bio.ph_effect(roles.ph),
         "temperature_stress": bio.temperature_stress(roles.temperature),
         "ph_stress": bio.ph_stress(roles.ph),
-        "environmental_stress": bio.environmental_stress("temperature_stress", "ph_stress"),
     }
     if nutrients:
-        found["nutrient_effect"] = bio.nutrient_effect(roles.nutrients)
-    found.update({
+        responses["nutrient_effect"] = bio.nutrient_effect(roles.nutrients)
+    responses.update({
         "sin_24h": bio.sin_24h(roles.time),
         "cos_24h": bio.cos_24h(roles.time),
         "culture_day": bio.culture_day(roles.time),
+    })
+    combined = {
+        "environmental_stress": bio.environmental_stress("temperature_stress", "ph_stress"),
         "photosynthetic_capacity": bio.photosynthetic_capacity(
             "temperature_effect", "ph_effect", "light_efficiency"
         ),
+    }
+    quality = {
         "environmental_quality": bio.environmental_quality(
             "photosynthetic_capacity", "photoinhibition"
         ),
-    })
-    return found
+    }
+    return [responses, combined, quality]
+
+
+def base_feature_names(nutrients: bool = True) -> list[str]:
+    return [n for n in fixed.SPANISH_NAMES if nutrients or n != "nutrient_effect"]
 
 
 def optional_features(roles: Roles = DEFAULT_ROLES, age: str | None = None) -> dict[str, Column]:
@@ -93,14 +103,14 @@ def add_features(
     ``names='spanish'`` gives the derived columns their Spanish names.
     """
     levels = phase_levels(df, roles) if levels is None else levels
-    out = df
-    # One projection per feature: the optimizer merges them, and a later
-    # feature can use an earlier one without repeating its formula.
-    for name, column in base_features(roles, roles.nutrients in df.columns).items():
-        out = out.withColumn(name, column)
     extra = optional_features(roles, age) if optional else {}
-    out = out.withColumns({name: extra[name] for name in optional})
-    out = out.withColumns(phase_indicators(levels, roles))
+    independent = {name: extra[name] for name in optional} | phase_indicators(levels, roles)
+    out = df
+    # One projection per step: the optimizer merges them, and a later feature
+    # can use an earlier one without repeating its formula.
+    for step in feature_steps(roles, roles.nutrients in df.columns):
+        out = out.withColumns(independent | step)
+        independent = {}
     if names == "spanish":
         out = out.withColumnsRenamed(fixed.SPANISH_NAMES)
     return out

@@ -219,7 +219,7 @@ def optional_query(name: str) -> Query:
 
 
 def physiology_features(spark, sf, names="english"):
-    derived = list(features.base_features())
+    derived = features.base_feature_names()
     columns = [fixed.SPANISH_NAMES[c] for c in derived] if names == "spanish" else derived
     table = features.add_features(culture_view(spark, sf), levels=[], names=names)
     return shown(table.select("row_id", *columns))
@@ -313,7 +313,7 @@ def split_counts(spark, sf):
 def robust_fit(spark, sf):
     table = cleaning.clean_invalid(featured(spark, sf))
     outer = holdout.hold_out_groups(table, R.group)
-    names = ["Time_h", "Nutrients_g_L", "Stirrer_Setpoint", *features.base_features()]
+    names = ["Time_h", "Nutrients_g_L", "Stirrer_Setpoint", *features.base_feature_names()]
     return table, scaling.fit_robust(outer.train(table), names)
 
 
@@ -495,7 +495,7 @@ def all_queries() -> dict[str, Query]:
         "leak_free_observations": lambda s, d: shown(kept_observations(s, d)),
     }
     # features
-    found.update({name: feature_query(name) for name in features.base_features()})
+    found.update({name: feature_query(name) for name in features.base_feature_names()})
     found["phase_indicators"] = phase_indicators
     found.update({name: optional_query(name) for name in features.OPTIONAL})
     found["physiology_features"] = physiology_features
