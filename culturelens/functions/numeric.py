@@ -38,5 +38,9 @@ def guarded_corr(x: Column | str, y: Column | str) -> Column:
 
 
 def rounded(value: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison between engines; adding zero removes a minus zero."""
-    return F.round(as_column(value), digits) + F.lit(0.0)
+    """Rounded for comparison between engines; adding zero removes a minus zero.
+
+    Scaled and rounded as a double: ``round`` goes through a decimal per value.
+    """
+    scale = F.lit(10.0**digits)
+    return F.rint(as_column(value) * scale) / scale + F.lit(0.0)

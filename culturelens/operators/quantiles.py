@@ -81,9 +81,10 @@ def kth_smallest(df: DataFrame, column: str, k: int, n: int) -> float:
 
 
 def _select(df, columns, ranks, fractions) -> dict[str, list[float | None]]:
-    wanted = sorted({
-        min(max(p + side, 0.0), 1.0) for p in fractions for side in (-MARGIN, MARGIN)
-    })
+    def clamped(p: float) -> float:
+        return min(max(p, 0.0), 1.0)
+
+    wanted = sorted({clamped(p + side) for p in fractions for side in (-MARGIN, MARGIN)})
     sketch = to_long(df, columns).groupBy("feature").agg(
         F.count("x").alias("n"),
         F.min("x").alias("least"),
@@ -100,8 +101,8 @@ def _select(df, columns, ranks, fractions) -> dict[str, list[float | None]]:
         targets[row.feature] = [
             _Target(
                 k0, k1, weight,
-                row.least if p - MARGIN <= 0 else at[p - MARGIN],
-                row.most if p + MARGIN >= 1 else at[p + MARGIN],
+                row.least if p - MARGIN <= 0 else at[clamped(p - MARGIN)],
+                row.most if p + MARGIN >= 1 else at[clamped(p + MARGIN)],
                 min(row.n, row.n * (2 * MARGIN + 2 / SKETCH) + 2),
             )
             for p, (k0, k1, weight) in zip(fractions, ranks(row.n))

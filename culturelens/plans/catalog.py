@@ -159,7 +159,12 @@ def fitted_predictions(fit) -> Query:
 
     def query(spark: SparkSession, sf: str) -> DataFrame:
         train, inner, validation, target = scaled_responses(spark, sf)
-        model = fit(train, inner, target)
+        # The fit passes over its rows several times: keep the few columns it reads.
+        rows = train.select(R.row_id, *RESPONSES, SCALED_TARGET).persist()
+        try:
+            model = fit(rows, inner, target)
+        finally:
+            rows.unpersist()
         out = model.predict(validation, "_p")
         return shown(out.select("row_id", target.invert("_p").alias("predicted")))
 

@@ -122,7 +122,7 @@ def choose_features(
     """Selected names, the ballot they come from, and the importance table."""
     roles = config.roles
     spark = fit_rows.sparkSession
-    scores = selection.feature_scores(fit_rows, candidates, roles.target).persist()
+    scores = selection.feature_scores(fit_rows, candidates, roles.target)
     importances = None
     if "forest" in config.selectors:
         forest = regressors.fit_forest(

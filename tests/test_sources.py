@@ -1,0 +1,75 @@
+import pytest
+from pyspark.sql import types as T
+
+from culturelens.roles import candidate_columns
+from culturelens.sources import tables
+
+
+def test_missing_table_is_one_clear_error(spark, tmp_path):
+    with pytest.raises(tables.ObservationsNotFound):
+        tables.read_observations(spark, str(tmp_path / "nothing.csv"))
+    with pytest.raises(tables.ObservationsNotFound):
+        tables.read_observations(spark, str(tmp_path / "nothing"), fmt="parquet")
+
+
+def test_csv_of_known_columns_needs_no_inference(spark, tmp_path):
+    path = tmp_path / "known.csv"
+    path.write_text("Time_h,pH,Biomass_g_L,Growth_Phase\n1,7,0.5,lag\n2,,inf,\n3,NaN,2,linear\n")
+    df = tables.read_observations(spark, str(path))
+    assert dict(df.dtypes) == {"Time_h": "double", "pH": "double", "Biomass_g_L": "double",
+                               "Growth_Phase": "string"}
+    rows = df.orderBy("Time_h").collect()
+    assert rows[1].pH is None and rows[1].Biomass_g_L == float("inf")
+    assert rows[1].Growth_Phase is None and str(rows[2].pH) == "nan"
+
+
+def test_csv_with_other_columns_is_inferred(spark, tmp_path):
+    path = tmp_path / "open.csv"
+    path.write_text("Scenario,DateTime,Stirrer,Flag,Biomass_g_L\n1,2024-01-01,2.5,true,1\n")
+    df = tables.read_observations(spark, str(path))
+    assert dict(df.dtypes) == {"Scenario": "int", "DateTime": "string", "Stirrer": "double",
+                               "Flag": "boolean", "Biomass_g_L": "double"}
+
+
+def test_csv_round_trip_of_the_culture_table(spark, culture, tmp_path):
+    path = str(tmp_path / "culture")
+    culture.write.option("header", True).csv(path)
+    back = tables.read_observations(spark, path)
+    assert dict(back.dtypes) == dict(culture.dtypes)
+    assert back.exceptAll(culture).count() == 0 == culture.exceptAll(back).count()
+
+
+def test_candidates(spark):
+    schema = T._parse_datatype_string(
+        "Biomass_g_L double, Scenario int, Growth_Phase string, DateTime string, a int,"
+        " b double, c boolean, d float, e decimal(5,2)"
+    )
+    assert candidate_columns(schema) == ["a", "b", "d", "e"]
+    assert candidate_columns(schema, double_only=True) == ["b"]
+
+
+def test_shape_report(spark):
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    rows = {r.column: (r.n_rows, r.n_columns, r.n_null) for r in tables.shape_report(df).collect()}
+    assert rows == {"a": (2, 2, 0), "b": (2, 2, 1)}
+
+
+def test_projection_reaches_the_scan(spark, culture, tmp_path):
+    path = str(tmp_path / "culture")
+    culture.write.parquet(path)
+    df = tables.candidate_features(
+        tables.read_observations(spark, path, fmt="parquet")
+    ).select("pH")
+    scan = df._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<pH:double>" in scan
+
+
+def test_drop_columns(spark):
+    df = spark.createDataFrame([(1, 2)], "a int, b int")
+    assert tables.drop_columns(df, ["b", "zzz"]).columns == ["a"]
+
+
+def test_spread_leaves_large_scans_alone(spark):
+    few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=64)
+    assert tables.spread(few, "id").rdd.getNumPartitions() == 8
+    assert tables.spread(many, "id").rdd.getNumPartitions() == 64
