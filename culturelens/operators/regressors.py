@@ -14,6 +14,9 @@ from culturelens import fixed
 from culturelens.operators.longform import to_long
 
 VECTOR = "_features"
+# Collinear features make the solver iterate on the (small) normal equations:
+# let it run until it has settled.
+SETTLED = {"tol": 1e-13, "maxIter": 1000}
 
 
 @dataclass(frozen=True)
@@ -49,7 +52,7 @@ def _line(name: str, features: Sequence[str], weights, bias) -> Regressor:
 def fit_ols(train: DataFrame, features: Sequence[str], label: str) -> Regressor:
     """Least squares from one pass of normal equations."""
     model = LinearRegression(
-        featuresCol=VECTOR, labelCol=label, solver="normal", regParam=0.0
+        featuresCol=VECTOR, labelCol=label, solver="normal", regParam=0.0, **SETTLED
     ).fit(assemble(train, features).select(VECTOR, label))
     return _line("Linear", features, model.coefficients, model.intercept)
 
@@ -71,7 +74,7 @@ def fit_ridge(
         return _line("Ridge", features, [0.0] * len(features), constant)
     model = LinearRegression(
         featuresCol=VECTOR, labelCol=label, solver="normal", regParam=penalty,
-        elasticNetParam=0.0, standardization=False,
+        elasticNetParam=0.0, standardization=False, **SETTLED
     ).fit(assemble(train, features).select(VECTOR, label))
     return _line("Ridge", features, model.coefficients, model.intercept)
 
@@ -124,6 +127,12 @@ def fit_forest(
     return _trees("RandomForest", model, features)
 
 
+def use_checkpoint_folder(spark: SparkSession) -> None:
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
+
+
 def fit_boosted(
     train: DataFrame,
     features: Sequence[str],
@@ -136,12 +145,14 @@ def fit_boosted(
 ) -> Regressor:
     """Boosted trees with row and column subsampling.
 
-    Long fits cut their lineage through the shared folder that the session
-    names in ``spark.checkpoint.dir``; without one they keep the full lineage.
+    Every ten rounds the fit cuts its lineage in the shared folder that the
+    session names in ``spark.checkpoint.dir``; without one it keeps it whole.
     """
+    use_checkpoint_folder(train.sparkSession)
     model = GBTRegressor(
         featuresCol=VECTOR, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate,
         subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed,
+        checkpointInterval=10,
     ).fit(assemble(train, features).select(VECTOR, label))
     return _trees("Boosted", model, features)
 

@@ -160,8 +160,8 @@ def run(df: DataFrame, config: RunConfig = RunConfig()) -> FittedRun:
     """Fit everything on ``df`` and evaluate on the held-out groups.
 
     Only names, two or three quantiles per column, group counts, model weights
-    and metrics reach the driver. The prepared and the scaled table are kept
-    while models are fitted; call ``release`` on the result to free them.
+    and metrics reach the driver. The scaled rows stay cached for the lazy
+    evaluation tables; call ``release`` on the result to free them.
     """
     roles = config.roles
     kept, leaks = drop_leaks(df, roles, config.leak_threshold, config.known_leaks)
@@ -180,27 +180,31 @@ def run(df: DataFrame, config: RunConfig = RunConfig()) -> FittedRun:
         fit_rows(prepared), cleaning.clipped_columns(prepared, roles, indicators),
         accuracy=config.accuracy,
     )
-    clipped = cleaning.clip(prepared, bounds).persist()
-    chosen, ballot, importances = choose_features(
-        fit_rows(clipped), _candidates(clipped, kept, config, levels), config
-    )
+    candidates = _candidates(prepared, kept, config, levels)
+    keys = [c for c in (roles.row_id, roles.group) if c in prepared.columns]
+    # Keep only what the following steps read.
+    clipped = cleaning.clip(prepared, bounds).select(
+        *keys, roles.target, *[F.col(f"`{c}`") for c in candidates]
+    ).persist()
+    chosen, ballot, importances = choose_features(fit_rows(clipped), candidates, config)
 
     training = outer.train(clipped)
     scaler = scaling.fit_robust(training, chosen, config.accuracy)
     target = scaling.fit_standard(training, roles.target)
-    keys = [c for c in (roles.row_id, roles.group) if c in clipped.columns]
     scaled = clipped.select(
         *keys, roles.target, *[scaler.column(c).alias(c) for c in chosen],
         target.apply(roles.target).alias(SCALED_TARGET),
     ).persist()
     block = outer.train(scaled)
     models = fit_models(inner.train(block), inner.validation(block), chosen, target, config)
+    # The fits have filled the cache of the scaled rows.
+    clipped.unpersist()
 
     scored = ensemble.predict_all(inner.validation(block), models)
     errors = ensemble.holdout_errors(scored, [m.name for m in models], SCALED_TARGET)
     weights = ensemble.collect_weights(ensemble.model_weights(errors))
     fitted = FittedRun(config, leaks, levels, bounds, chosen, scaler, target, models, weights,
-                       ballot, importances=importances, cached=[clipped, scaled])
+                       ballot, importances=importances, cached=[scaled])
     fitted.validation = predictions(outer.validation(scaled), fitted)
     fitted.metrics = evaluation.evaluate(fitted.validation, fitted.names, roles.target)
     return fitted
