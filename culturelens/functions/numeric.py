@@ -38,9 +38,11 @@ def guarded_corr(x: Column | str, y: Column | str) -> Column:
 
 
 def rounded(value: Column | str, digits: int = 6) -> Column:
-    """Rounded for comparison between engines; adding zero removes a minus zero.
+    """Rounded half away from zero, for comparison between engines.
 
-    Scaled and rounded as a double: ``round`` goes through a decimal per value.
+    Done on scaled doubles, because ``round`` goes through a decimal per value;
+    adding zero removes a minus zero.
     """
-    scale = F.lit(10.0**digits)
-    return F.rint(as_column(value) * scale) / scale + F.lit(0.0)
+    scaled = as_column(value) * F.lit(10.0**digits)
+    whole = F.floor(F.abs(scaled) + F.lit(0.5)).cast("double")
+    return F.signum(scaled) * whole / F.lit(10.0**digits) + F.lit(0.0)

@@ -63,12 +63,13 @@ def read_observations(
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Repartition by row identity when the scan has fewer tasks than cores.
+    """Repartition by row identity where that at least doubles the running tasks.
 
-    Large tables already split into many tasks and pass through unchanged.
+    Meant for small tables in few files; a table that already fills half of
+    the cores passes through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    if df.rdd.getNumPartitions() * 2 > cores:
         return df
     return df.repartition(cores, *keys)
 
