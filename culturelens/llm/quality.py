@@ -146,4 +146,7 @@ def judged(docs: DataFrame, text: str = "text", carry: tuple[Column, ...] = (),
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """`docs` without the rows that the rules reject."""
-    return judged(docs, text, (F.struct("*"),), rules).where("kept").select("carry_0.*")
+    found = judged(docs, text, (F.struct("*"),), rules).select(
+        "carry_0", "kept", F.monotonically_increasing_id().alias("place"))
+    # the row number keeps the filter above the counts; below, it would repeat them
+    return found.where(F.col("kept") & (F.col("place") >= 0)).select("carry_0.*")
