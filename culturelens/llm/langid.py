@@ -33,7 +33,7 @@ WORDS = 20_000
 GRAMS = 10_000
 ORDERS = (4, 3, 2, 1)
 UNSEEN = 0.5          # count that a language is given for what it lacks
-CACHE = 400_000      # scored words that a task keeps
+CACHE = 300_000      # scored words that a task keeps
 TEXTS = 512          # texts whose new words are scored together
 UNKNOWN = "und"
 LETTERS = regex.compile(r"\p{L}+")

@@ -33,7 +33,7 @@ from culturelens.llm.common import written
 CLOSING_ID = 2
 GROUP_TOKENS = 1 << 22
 GROUP_ROWS = 1 << 16
-CACHE = 500_000
+CACHE = 300_000
 # White space always ends a match in these characters, none of which combine or change
 # what precedes them; other texts are tokenised as a whole.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-ÿ]*")

@@ -29,7 +29,7 @@ from culturelens.llm.pieces import Cutter
 
 SHIFT = 2.7
 SCALE = 1_000_000
-CACHE = 400_000      # counts kept by a task
+CACHE = 250_000      # counts kept by a task
 TEXTS = 256          # texts whose new pre-tokens form one trie
 
 
