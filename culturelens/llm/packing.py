@@ -25,6 +25,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,10 +34,12 @@ from culturelens.llm.common import written
 CLOSING_ID = 2
 GROUP_TOKENS = 1 << 22
 GROUP_ROWS = 1 << 16
-CACHE = 300_000
+CACHE = 400_000
 # White space always ends a match in these characters, none of which combine or change
 # what precedes them; other texts are tokenised as a whole.
 PLAIN = re.compile(r"[\t\n\x0b\x0c\r\x20-\x7e¡-ÿ]*")
+# Fixed value: the pattern of the vocabulary file.
+MATCH = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss long"
 
@@ -47,31 +50,54 @@ class Limits(NamedTuple):
     loss: int = 4096
 
 
+def byte_letters() -> dict[int, str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return {b: chr(b if b in plain else next(others)) for b in range(0x100)}
+
+
 class WordTokenizer:
-    """Ids of a tokenizers file, with those of white-space separated words kept."""
+    """Ids of a tokenizers file; plain texts by the words that repeat in them.
+
+    The file's normaliser lower-cases and its pattern ends a match at white space, so a
+    plain text is cut at white space, a word by the pattern, and each match goes to the
+    file's model alone. The library's own chain of steps encodes all other texts.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        self.model, self.letters = self.library.model, byte_letters()
+        self.words: dict[str, bytes] = {}
+        self.matches: dict[str, bytes] = {}
+
+    def _match(self, text: str) -> bytes:
+        ids = self.matches.get(text)
+        if ids is None:
+            if len(self.matches) > CACHE:
+                self.matches.clear()
+            shown = text if text.isascii() else text.encode().decode("latin-1").translate(
+                self.letters)
+            ids = np.array([t.id for t in self.model.tokenize(shown)], "<u4").tobytes()
+            self.matches[text] = ids
+        return ids
 
     def __call__(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
-            return self._encode([text])[0]
-        words, known = text.split(), self.known
-        new = list({w for w in words if w not in known})
-        if new:
-            if len(known) > CACHE:
-                known.clear()
-                new = list(set(words))
-            known.update(zip(new, self._encode(new)))
-        return b"".join(map(known.__getitem__, words))
+        if "<|" in text or not PLAIN.fullmatch(text):
+            ids = self.library.encode(text, add_special_tokens=False).ids
+            return np.array(ids, "<u4").tobytes()
+        known, out = self.words, []
+        if len(known) > CACHE:
+            known.clear()
+        for word in text.lower().split():
+            ids = known.get(word)
+            if ids is None:
+                ids = known[word] = b"".join(map(self._match, MATCH.findall(word)))
+            out.append(ids)
+        return b"".join(out)
 
 
 def token_pieces(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
