@@ -56,8 +56,10 @@ def fit_clip_bounds(
 
 
 def clip(df: DataFrame, bounds: Mapping[str, tuple[float, float]]) -> DataFrame:
-    """Clip to fitted bounds: a plain projection, so it also fits a stream."""
-    return df.withColumns({
-        c: F.least(F.greatest(F.col(f"`{c}`"), F.lit(lo)), F.lit(hi))
-        for c, (lo, hi) in bounds.items()
-    })
+    """Clip to fitted bounds, missing values apart: a plain projection, so it also fits a stream."""
+    out = {}
+    for c, (lo, hi) in bounds.items():
+        x = F.col(f"`{c}`")
+        missing = x.isNull() | F.isnan(x.cast("double"))
+        out[c] = F.when(missing, x).otherwise(F.least(F.greatest(x, F.lit(lo)), F.lit(hi)))
+    return df.withColumns(out)

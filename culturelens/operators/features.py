@@ -11,7 +11,6 @@ from culturelens import fixed
 from culturelens.functions import physiology as bio
 from culturelens.roles import DEFAULT_ROLES, Roles
 
-MAX_PHASES = 1_000
 
 OPTIONAL = (
     "michaelis_menten_light",
@@ -72,14 +71,11 @@ def optional_features(roles: Roles = DEFAULT_ROLES, age: str | None = None) -> d
 
 
 def phase_levels(df: DataFrame, roles: Roles = DEFAULT_ROLES) -> list[str]:
-    """Sorted growth phases in the data; a table with too many is an error."""
+    """Sorted growth phases in the data; each becomes a column."""
     if roles.phase not in df.columns:
         return []
     levels = df.select(F.col(roles.phase).cast("string").alias("v")).where("v is not null")
-    found = [r.v for r in levels.distinct().limit(MAX_PHASES + 1).collect()]
-    if len(found) > MAX_PHASES:
-        raise ValueError(f"more than {MAX_PHASES} values in {roles.phase}")
-    return sorted(found)
+    return sorted(r.v for r in levels.distinct().collect())
 
 
 def phase_indicators(levels: Sequence[str], roles: Roles = DEFAULT_ROLES) -> dict[str, Column]:

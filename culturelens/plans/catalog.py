@@ -403,7 +403,8 @@ def all_model_predictions(spark, sf):
 
 
 def score_raw_rows(spark, sf):
-    return shown(closed_form_fit(spark, sf).score(culture_view(spark, sf)))
+    scored = closed_form_fit(spark, sf).score(culture_view(spark, sf))
+    return shown(scored.select("row_id", "Scenario", "pred_Linear", "pred_Ridge", "pred_Ensemble"))
 
 
 def closed_form_run(spark, sf):

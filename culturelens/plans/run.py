@@ -249,14 +249,17 @@ def predictions(scaled: DataFrame, fitted: FittedRun) -> DataFrame:
     })
 
 
+ROW = "_scored_row"    # the raw row, carried under one private name
+
+
 def score(df: DataFrame, fitted: FittedRun) -> DataFrame:
-    """Score raw rows with stored bounds, scalers and weights; fits streams too."""
+    """All columns of raw rows and their predictions, in target units; fits streams too."""
     roles = fitted.config.roles
-    raw = df.drop(*fitted.leaks)
+    raw = df.withColumn(ROW, F.struct(*[F.col(f"`{c}`") for c in df.columns])).drop(*fitted.leaks)
     prepared = features.add_features(raw, roles, fitted.levels, fitted.config.optional)
     inputs = fitted.selected
-    keys = [c for c in (roles.row_id, roles.group) if c in raw.columns]
-    valid = cleaning.clean_invalid(prepared.select(*keys, *[F.col(f"`{c}`") for c in inputs]), roles)
+    valid = cleaning.clean_invalid(prepared.select(ROW, *[F.col(f"`{c}`") for c in inputs]), roles)
     clipped = cleaning.clip(valid, {c: b for c, b in fitted.bounds.items() if c in inputs})
-    scaled = clipped.select(*keys, *[fitted.features.column(c).alias(c) for c in inputs])
-    return predictions(scaled, fitted).drop(*inputs)
+    scaled = clipped.select(ROW, *[fitted.features.column(c).alias(c) for c in inputs])
+    names = [ensemble.prediction_column(n) for n in fitted.names]
+    return predictions(scaled, fitted).select(f"{ROW}.*", *[F.col(f"`{n}`") for n in names])

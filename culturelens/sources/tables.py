@@ -37,13 +37,14 @@ def read_observations(
     """Scan a headered CSV or a parquet table lazily.
 
     A CSV whose columns all have known types (or that comes with ``schema``) is
-    not read ahead of the query; unknown columns cost one inference pass.
+    not read ahead of the query; unknown columns cost one inference pass. A file
+    whose header names other columns, or the same in another order, is an error.
     """
     try:
         if fmt != "csv":
             return spark.read.format(fmt).load(path)
         reader = spark.read.options(
-            header=True, nanValue="NaN", positiveInf="inf", negativeInf="-inf"
+            header=True, enforceSchema=False, nanValue="NaN", positiveInf="inf", negativeInf="-inf"
         )
         if schema is not None:
             return reader.schema(schema).csv(path)

@@ -84,3 +84,10 @@ def test_standard_scaling_and_back(spark):
     assert scaling.fit_standard(df.where("y = 2"), "y").std == 1.0
     with pytest.raises(ValueError):
         scaling.fit_standard(df.where("y > 9"), "y")
+
+
+def test_clip_keeps_missing_values(spark):
+    df = spark.createDataFrame(
+        [(0, None), (1, float("nan")), (2, 0.0), (3, float("inf")), (4, 2.0)], "i int, v double")
+    found = [r.v for r in cleaning.clip(df, {"v": (1.0, 3.0)}).orderBy("i").collect()]
+    assert found[0] is None and found[1] != found[1] and found[2:] == [1.0, 3.0, 2.0]

@@ -44,6 +44,11 @@ def test_score_repeats_the_validation_predictions(fitted, culture):
         assert tuple(found[key])[1:] == pytest.approx(tuple(row)[1:])
 
 
+def test_score_keeps_the_columns_of_its_rows(fitted, culture):
+    raw = culture.drop("row_id", "Scenario").limit(20)
+    assert fitted.score(raw).columns == [*raw.columns, *[f"pred_{n}" for n in fitted.names]]
+
+
 def test_reports(spark, fitted):
     report = fitted.report(spark).first()
     assert report.n_leaks_removed == 2 and report.n_features == len(fitted.selected)

@@ -73,3 +73,10 @@ def test_spread_leaves_large_scans_alone(spark):
     few, many = spark.range(100, numPartitions=1), spark.range(100, numPartitions=64)
     assert tables.spread(few, "id").rdd.getNumPartitions() == 8
     assert tables.spread(many, "id").rdd.getNumPartitions() == 64
+
+
+def test_csv_files_with_swapped_columns_are_an_error(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("pH,Time_h\n8.5,2\n")
+    (tmp_path / "b.csv").write_text("Time_h,pH\n2,8.5\n")
+    with pytest.raises(Exception, match="header"):
+        tables.read_observations(spark, str(tmp_path)).collect()
