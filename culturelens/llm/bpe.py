@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from culturelens.llm.pieces import Cutter
 
-CACHE = 250_000
+CACHE = 600_000
 SHORT = 12           # bytes of a window that is merged without a heap, or of a kept half
 LEAF = 4096          # ids that decoding joins at once at the leaves of its tree
 
