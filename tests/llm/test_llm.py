@@ -311,6 +311,41 @@ def test_line_dedup_matches_brute_force(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_loses_no_link_of_large_buckets(spark):
+    """Two chains of edits off one line, each step a link and the ends far apart."""
+    words = prose(50, 60).split()
+    texts = []
+    for k in range(60):
+        words[(k * 7) % 60] = f"edit{k:03d}"
+        texts += [" ".join(words), " ".join([*words[:59], f"tail{k:03d}"])]
+    rows = list(enumerate(texts + texts[:40]))
+    lines = line_dedup.text_lines(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    distinct = lines.groupBy("line_id").agg(F.count("*").alias("n"))
+    ids = {r.line_id: r.line for r in lines.select("line_id", "line").distinct().collect()}
+    sets = {i: set(re.findall(line_dedup.PATTERN.replace("(?s)", ""), x, re.S))
+            for i, x in ids.items()}
+    close = [(a, b) for a, b in itertools.combinations(sets, 2)
+             if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = groups(sets, close)
+    found = {r.node: r.component
+             for r in line_dedup.line_components(lines, distinct, 0.8).collect()}
+    assert {i: found.get(i, i) for i in sets} == {i: want[i] for i in sets}
+
+
+def test_rarest_shingles_find_every_pair_across_components(spark):
+    rng = random.Random(8)
+    sets = {i: rng.sample([f"s{k}" for k in range(14)], rng.randint(5, 12)) for i in range(60)}
+    component = {i: 0 if i < 40 else i for i in sets}
+    frame = spark.createDataFrame(list(sets.items()), "line_id long, set array<string>")
+    members = spark.createDataFrame(list(component.items()), "line_id long, component long")
+    pairs = line_dedup.across(members, frame, 0.8)
+    found = {tuple(r) for r in line_dedup.verified(pairs, frame, 0.8).collect()}
+    assert found == {(a, b) for a, b in itertools.combinations(sets, 2)
+                     if component[a] != component[b]
+                     and len({*sets[a]} & {*sets[b]}) >= 0.8 * len({*sets[a]} | {*sets[b]})}
+    assert len(found) > 3
+
+
 def test_packing_places_every_id_once(spark, edge, none):
     path = public_tokenizers.path(catalog.WORD_BPE)
     limits = packing.Limits(tokens=256, segments=8, loss=250)
