@@ -10,6 +10,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,8 +20,6 @@ from culturelens.functions.numeric import as_column
 from culturelens.operators.quantiles import kth_smallest
 
 LISTED_GROUPS = 100_000   # most group keys ranked by one task
-DRAWN_GROUPS = 10_000     # most group keys drawn on the driver
-BROADCAST_GROUPS = 1_000_000
 
 TRAIN, VALIDATION = "train", "validation"
 
@@ -35,17 +34,29 @@ def sorted_groups(df: DataFrame, key: str) -> DataFrame:
 
 @dataclass(frozen=True)
 class Holdout:
-    """A row predicate that is true for held-out rows."""
+    """A row predicate that is true for held-out rows, or a table of the held-out keys."""
 
-    held: Column
+    held: Column | None = None
+    keys: DataFrame | None = None    # one column, `_held`
+    key: str = ""
+
+    def _same(self, df: DataFrame) -> Column:
+        return F.col(f"`{self.key}`").eqNullSafe(F.col("_held"))
 
     def flag(self, df: DataFrame, name: str = "split") -> DataFrame:
+        if self.keys is not None:
+            return self.train(df).withColumn(name, F.lit(TRAIN)).unionByName(
+                self.validation(df).withColumn(name, F.lit(VALIDATION)))
         return df.withColumn(name, F.when(self.held, VALIDATION).otherwise(TRAIN))
 
     def train(self, df: DataFrame) -> DataFrame:
+        if self.keys is not None:
+            return df.join(self.keys, self._same(df), "left_anti")
         return df.where(~self.held)
 
     def validation(self, df: DataFrame) -> DataFrame:
+        if self.keys is not None:
+            return df.join(self.keys, self._same(df), "left_semi")
         return df.where(self.held)
 
 
@@ -60,7 +71,7 @@ def hold_out_groups(
 
     ``hash`` takes the groups with the smallest seeded hash, at any number of
     groups. ``draw`` takes the classic NumPy draw without replacement from the
-    sorted keys, for up to ``DRAWN_GROUPS`` of them.
+    sorted keys: the driver draws positions, a distributed index turns them into keys.
     """
     groups = distinct_groups(df, key).persist()
     try:
@@ -69,13 +80,7 @@ def hold_out_groups(
             raise ValueError("no rows to split")
         n_held = max(1, n_groups // fixed.GROUP_DIVISOR)
         if method == "draw":
-            if n_groups > DRAWN_GROUPS:
-                raise ValueError(f"more than {DRAWN_GROUPS} groups: use method='hash'")
-            keys = [r[0] for r in groups.orderBy(key).collect()]
-            picked = np.random.RandomState(seed).choice(len(keys), n_held, replace=False)
-            held = [keys[i] for i in sorted(picked)]
-            named = F.col(key).isin([k for k in held if k is not None])
-            return Holdout(F.when(F.col(key).isNull(), F.lit(None in held)).otherwise(named))
+            return Holdout(keys=_drawn(groups, key, seed, n_groups, n_held), key=key)
         if method != "hash":
             raise ValueError("method must be 'hash' or 'draw'")
         last = _nth_hash(groups, key, seed, n_held, n_groups, listed)
@@ -87,6 +92,17 @@ def hold_out_groups(
         groups.unpersist()
 
 
+def _drawn(groups: DataFrame, key: str, seed: int, n_groups: int, n_held: int) -> DataFrame:
+    """The drawn keys; the positions take eight bytes a group on the driver."""
+    picked = np.sort(np.random.RandomState(seed).choice(n_groups, n_held, replace=False))
+    spark = groups.sparkSession
+    own = f"struct<`{key}`:{groups.schema[key].dataType.simpleString()}>"
+    ranked = spark.createDataFrame(
+        groups.select(key).orderBy(key).rdd.zipWithIndex(), f"own {own}, place bigint")
+    places = spark.createDataFrame(pd.DataFrame({"place": picked.astype("int64")}))
+    return ranked.join(places, "place", "left_semi").select(F.col(f"own.`{key}`").alias("_held"))
+
+
 def _nth_hash(groups: DataFrame, key: str, seed: int, n: int, n_groups: int, listed: int):
     """The n-th smallest ``(hash, key text)``, however many groups there are."""
     hashed = groups.select(
@@ -126,11 +142,9 @@ def row_identity(df: DataFrame) -> Column:
 def split_by_groups(df: DataFrame, held: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Training and validation rows for a given table of held-out keys.
 
-    The keys are broadcast up to a checked number and joined by shuffle beyond.
+    Spark broadcasts the keys where their size allows.
     """
     keys = held.select(key).distinct()
-    if keys.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        keys = F.broadcast(keys)
     return df.join(keys, key, "left_anti"), df.join(keys, key, "left_semi")
 
 

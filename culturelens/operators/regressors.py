@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -128,9 +129,17 @@ def fit_forest(
 
 
 def use_checkpoint_folder(spark: SparkSession) -> None:
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
+    """Set the shared folder that the session names; one of this machine only in local mode."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        return
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
+        "spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("boosting needs a shared folder in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    context.setCheckpointDir(folder)
 
 
 def fit_boosted(
@@ -146,7 +155,7 @@ def fit_boosted(
     """Boosted trees with row and column subsampling.
 
     Every ten rounds the fit cuts its lineage in the shared folder that the
-    session names in ``spark.checkpoint.dir``; without one it keeps it whole.
+    session names in ``spark.checkpoint.dir``; a cluster without one is an error.
     """
     use_checkpoint_folder(train.sparkSession)
     model = GBTRegressor(

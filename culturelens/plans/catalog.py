@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,11 +31,9 @@ LINES = {
 }
 BEST = "pred_Capacity"
 
-# Small settings for the registered learners; the library defaults are full-size.
-SMALL = RunConfig(
-    selector_trees=10, selector_depth=4, forest_trees=10, forest_depth=4,
-    boosted_rounds=8, boosted_depth=4, epochs=4,
-)
+# Queries of 300 boosting rounds, by far the longest: registered after all others.
+LAST = ("boosted_predictions", "boosted_top_features", "all_model_predictions",
+        "full_run_evaluation")
 
 # Rows spoiled by their own values, to exercise the cleaning of invalid numbers.
 SPOILED_SQL = """
@@ -171,8 +168,9 @@ def fitted_predictions(fit) -> Query:
     return query
 
 
-def small_run(spark: SparkSession, sf: str, *models: str) -> FittedRun:
-    config = replace(SMALL, models=models) if models else SMALL
+def full_run(spark: SparkSession, sf: str, *models: str) -> FittedRun:
+    """The whole run at the library's own settings."""
+    config = RunConfig(models=models) if models else RunConfig()
     return run(culture_view(spark, sf), config)
 
 
@@ -269,7 +267,7 @@ def feature_votes(spark, sf):
 
 
 def forest_importance(spark, sf):
-    fitted = small_run(spark, sf, "Linear")
+    fitted = full_run(spark, sf, "Linear")
     return fitted.importances
 
 
@@ -377,8 +375,8 @@ def checkpoint_history(spark, sf):
     train, inner, _, target = scaled_responses(spark, sf)
     seen: list[tuple] = []
     networks.fit_net(
-        train, inner, RESPONSES, SCALED_TARGET, R.row_id, "dense", epochs=4,
-        floor=-target.mean / target.std, check_every=2,
+        train, inner, RESPONSES, SCALED_TARGET, R.row_id, "dense",
+        floor=-target.mean / target.std,
         history=lambda epoch, loss, held: seen.append((epoch, loss, held)),
     )
     return spark.createDataFrame(seen, "epoch int, loss double, holdout_mse double")
@@ -396,7 +394,7 @@ def model_weights(spark, sf):
 
 
 def all_model_predictions(spark, sf):
-    fitted = small_run(spark, sf)
+    fitted = full_run(spark, sf)
     return fitted.validation.select(
         "row_id", *[ensemble.prediction_column(n) for n in fitted.names]
     )
@@ -426,7 +424,7 @@ def best_model(spark, sf):
 
 
 def boosted_top_features(spark, sf):
-    return small_run(spark, sf, "Boosted").top_features(spark)
+    return full_run(spark, sf, "Boosted").top_features(spark)
 
 
 def run_report(spark, sf):
@@ -470,7 +468,7 @@ def multi_metric(spark, sf):
 
 
 def full_run_evaluation(spark, sf):
-    return small_run(spark, sf).metrics
+    return full_run(spark, sf).metrics
 
 
 def _floor(target: scaling.StandardScaler) -> float:
@@ -479,8 +477,7 @@ def _floor(target: scaling.StandardScaler) -> float:
 
 def net_fit(kind: str):
     return lambda train, inner, target: networks.fit_net(
-        train, inner, RESPONSES, SCALED_TARGET, R.row_id, kind, epochs=SMALL.epochs,
-        floor=_floor(target),
+        train, inner, RESPONSES, SCALED_TARGET, R.row_id, kind, floor=_floor(target),
     )
 
 
@@ -543,12 +540,10 @@ def all_queries() -> dict[str, Query]:
             lambda train, inner, target: regressors.fit_ridge(train, RESPONSES, y, alpha=100.0)
         ),
         "forest_predictions": fitted_predictions(
-            lambda train, inner, target: regressors.fit_forest(
-                train, RESPONSES, y, SMALL.forest_trees, SMALL.forest_depth)
+            lambda train, inner, target: regressors.fit_forest(train, RESPONSES, y)
         ),
         "boosted_predictions": fitted_predictions(
-            lambda train, inner, target: regressors.fit_boosted(
-                train, RESPONSES, y, SMALL.boosted_rounds, SMALL.boosted_depth)
+            lambda train, inner, target: regressors.fit_boosted(train, RESPONSES, y)
         ),
         "penalty_net_predictions": fitted_predictions(net_fit("dense")),
         "gated_net_predictions": fitted_predictions(net_fit("gated")),

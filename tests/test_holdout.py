@@ -73,15 +73,20 @@ def test_row_shares(spark):
     assert inner.validation(block).count() / block.count() == pytest.approx(0.2, abs=0.01)
 
 
-def test_join_form_agrees_with_the_predicate(spark, monkeypatch):
+def test_join_form_agrees_with_the_predicate(spark):
     df = groups_of(spark, 20)
     split = holdout.hold_out_groups(df, "g")
-    held = split.validation(df).select("g")
-    for limit in (holdout.BROADCAST_GROUPS, 2):
-        monkeypatch.setattr(holdout, "BROADCAST_GROUPS", limit)
-        train, validation = holdout.split_by_groups(df, held, "g")
-        assert train.count() == split.train(df).count()
-        assert validation.count() == split.validation(df).count()
+    train, validation = holdout.split_by_groups(df, split.validation(df).select("g"), "g")
+    assert train.count() == split.train(df).count()
+    assert validation.count() == split.validation(df).count()
+
+
+def test_draw_of_many_groups(spark):
+    df = groups_of(spark, 20_000)
+    split = holdout.hold_out_groups(df, "g", method="draw")
+    want = np.random.RandomState(50).choice(np.arange(1, 20_001), size=5_000, replace=False)
+    assert {r.g for r in split.validation(df).collect()} == set(want.tolist())
+    assert split.flag(df).where("split = 'train'").count() == 75_000
 
 
 def test_split_is_a_filter_without_shuffle(spark):
