@@ -367,6 +367,25 @@ def test_packing_places_every_id_once(spark, edge, none):
     assert packing.pack_documents(none, path).count() == 0
 
 
+def test_line_dedup_pairs_every_similar_set(spark):
+    """Sets that each lose some shared shingles: the pairs to verify hold every link."""
+    draw = random.Random(1)
+    base = [draw.getrandbits(63) - 2**62 for _ in range(40)]
+    sets = {}
+    for i in range(150):
+        own = list(base)
+        for k in draw.sample(range(40), draw.randint(0, 8)):
+            own[k] = draw.getrandbits(63) if draw.random() < 0.7 else k
+        sets[i] = set(own)
+    frame = spark.createDataFrame([(i, list(x)) for i, x in sets.items()],
+                                  "line_id long, set array<long>")
+    members = frame.selectExpr("line_id", "line_id as component")
+    pairs = line_dedup.across(members, frame, 0.8)
+    found = {(r.a, r.b) for r in line_dedup.verified(pairs, frame, 0.8).collect()}
+    assert found == {(i, j) for i in sets for j in sets
+                     if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     def long(seed):
         return "\n".join("the of and " + prose(seed * 10 + k, 30) for k in range(3))
