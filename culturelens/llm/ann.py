@@ -1,8 +1,10 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 A node splits at the median projection onto the difference of two of its points. A
-query searches all trees through one priority queue, best margin first, until it has
-met PROBES leaves; what lies in them is ranked again by the exact cosine.
+query meets the leaves of all trees in one order, least margin on the wrong side first;
+what lies in them is ranked again by the exact cosine. How many leaves, and at which
+depth the trees are cut, follows from the exact neighbours of at most PROVED queries:
+TARGET of these must be met, at least cost, and no query meets fewer than PROBES leaves.
 
 Trees are fitted on at most SAMPLE vectors, and every vector is put into one leaf of
 each tree; rows at a threshold divide by a hash, so leaves stay even. Equal vectors
@@ -18,7 +20,6 @@ count once; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -31,8 +32,11 @@ from pyspark.sql import functions as F
 from culturelens.llm.common import written
 
 TREES = 8
-LEAF = 512           # entries of a leaf, at most about
-PROBES = 100         # leaves that a query meets, over all trees
+LEAF = 512           # entries of a leaf of the uncut trees, at most about
+PROBES = 100         # least leaves that a query meets, over all trees
+TARGET = 0.95        # share of the proved queries' neighbours that must be met
+PROVED = 256         # queries whose exact neighbours set the leaves to meet
+LEAF_COST = 500      # of meeting a leaf, in comparisons of two vectors
 BLOCK = 4096         # entries or queries of a leaf that one task compares
 SAMPLE = 32_768
 SAMPLE_LEAF = 8      # least sampled vectors of a leaf
@@ -119,21 +123,80 @@ def leaves_of(forest: Forest, unit: np.ndarray, entry: np.ndarray) -> np.ndarray
     return out
 
 
-def search(forest: Forest, margins: np.ndarray, probes: int) -> list[tuple[int, int]]:
-    """(tree, leaf) of the leaves that one query meets, best first over all trees."""
-    inner = (1 << forest.depth) - 1
-    queue = [(-math.inf, t, 0) for t in range(len(forest.directions))]
-    heapq.heapify(queue)
-    found = []
-    while queue and len(found) < probes:
-        worst, t, node = heapq.heappop(queue)
-        while node < inner:
-            margin = float(margins[t, node])
-            near, far = (2 * node + 2, 2 * node + 1) if margin > 0 else (2 * node + 1, 2 * node + 2)
-            heapq.heappush(queue, (max(worst, abs(margin)), t, far))
-            node = near
-        found.append((t, node - inner))
-    return found
+def leaf_order(forest: Forest, margins: np.ndarray) -> np.ndarray:
+    """All leaves (tree * leaves + leaf) as one query meets them, best first."""
+    cost = np.full((len(margins), 1), -np.inf, margins.dtype)
+    for level in range(forest.depth):
+        margin = margins[:, (1 << level) - 1:(2 << level) - 1]
+        left = np.where(margin > 0, margin, -np.inf)
+        right = np.where(margin > 0, -np.inf, -margin)
+        cost = np.stack([np.maximum(cost, left), np.maximum(cost, right)], axis=2)
+        cost = cost.reshape(len(margins), -1)
+    return np.argsort(cost.ravel(), kind="stable")
+
+
+def exact_neighbours(index: DataFrame, asked: list[tuple], k: int) -> DataFrame:
+    """(query, entry, vector): the k nearest other entries of each (entry, vector) asked."""
+    own = np.array([r[0] for r in asked], np.int64)
+    shared = index.sparkSession.sparkContext.broadcast(
+        _unit(np.array([r[1] for r in asked], np.float32)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = shared.value
+        score, number = np.zeros((len(queries), 0)), np.zeros((len(queries), 0), np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
+                entry = np.asarray(some.column(0))
+                near = queries @ _unit(_matrix(some.column(1))).T
+                near[own[:, None] == entry] = -np.inf
+                score = np.concatenate([score, near], axis=1)
+                number = np.concatenate([number, np.broadcast_to(entry, near.shape)], axis=1)
+                if score.shape[1] > k:
+                    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+                    score = np.take_along_axis(score, top, axis=1)
+                    number = np.take_along_axis(number, top, axis=1)
+        query, place = np.nonzero(score > -np.inf)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(query, pa.int64()), pa.array(number[query, place], pa.int64()),
+             pa.array(score[query, place], pa.float64())], names=["query", "entry", "score"])
+
+    order = Window.partitionBy("query").orderBy(F.col("score").desc(), "entry")
+    best = (index.select("entry", "vector")
+            .mapInArrow(run, "query long, entry long, score double")
+            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= k))
+    # at most PROVED * k rows
+    return index.select("entry", "vector").join(F.broadcast(best.select("query", "entry")), "entry")
+
+
+def settle(forest: Forest, index: DataFrame, n: int, k: int) -> tuple[Forest, int]:
+    """The forest cut to the cheapest depth, and the leaves that queries must meet there."""
+    asked = (index.where("asked").orderBy(F.xxhash64("vector")).limit(PROVED)
+             .select("entry", "vector").collect())
+    found = exact_neighbours(index, asked, k).collect() if asked and n > 1 else []
+    if not found:
+        return forest, PROBES
+    queries = _unit(np.array([r["vector"] for r in asked], np.float32)).astype(np.float32)
+    query = np.array([r["query"] for r in found])
+    leaf = leaves_of(forest, _unit(np.array([r["vector"] for r in found], np.float32)),
+                     np.array([r["entry"] for r in found], np.int64))
+    trees = np.arange(len(forest.directions))
+    least, chosen = math.inf, (forest, PROBES)
+    for depth in range(forest.depth, -1, -1):
+        inner = (1 << depth) - 1
+        cut = Forest(forest.directions[:, :inner], forest.thresholds[:, :inner], depth)
+        at = (trees << depth) + (leaf >> (forest.depth - depth))
+        met = np.zeros(len(found), np.int64)
+        for i, q in enumerate(queries):
+            order = leaf_order(cut, cut.directions @ q - cut.thresholds)
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            met[query == i] = place[at[query == i]].min(axis=1)
+        probes = max(PROBES, int(np.sort(met)[math.ceil(TARGET * len(met)) - 1]) + 1)
+        cost = probes * (LEAF_COST + n / (1 << depth))
+        if cost < least:
+            least, chosen = cost, (cut, probes)
+    return chosen
 
 
 def _rank(k: int):
@@ -182,8 +245,12 @@ def _blocks(placed: DataFrame, probed: DataFrame) -> DataFrame:
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id",
-            vector_col: str = "embedding", trees: int = TREES, probes: int = PROBES) -> DataFrame:
-    """(query_id, rank, vec_id, score) of rows whose id `every` divides, against all others."""
+            vector_col: str = "embedding", trees: int = TREES,
+            probes: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score) of rows whose id `every` divides, against all others.
+
+    `probes` fixes the leaves that a query meets; None derives them from exact neighbours.
+    """
     index = entries(vectors, id_col, vector_col, every, k)
     n = index.count()
     part = index.where(F.pmod(F.xxhash64("entry"), F.lit(1 << 20))
@@ -191,7 +258,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     points = [r["vector"] for r in part.limit(2 * SAMPLE).collect()]
     depth = max(0, math.ceil(math.log2(max(1, min(n / LEAF, len(points) / SAMPLE_LEAF)))))
     unit = _unit(np.array(points, np.float32)) if points else np.zeros((0, 1))
-    shared = index.sparkSession.sparkContext.broadcast(tuple(grow(unit, trees, depth)))
+    grown = grow(unit, trees, depth)
+    cut, leaves = settle(grown, index, n, k) if probes is None else (grown, probes)
+    shared = index.sparkSession.sparkContext.broadcast(tuple(cut))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest(*shared.value)
@@ -214,11 +283,12 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                 query = _unit(_matrix(some.column(1))).astype(np.float32)
                 leaf, rows = [], []
                 for i, q in enumerate(query):
-                    for t, x in search(forest, forest.directions @ q - forest.thresholds, probes):
-                        leaf.append((t << 32) + x)
-                        rows.append(i)
+                    order = leaf_order(forest, forest.directions @ q - forest.thresholds)
+                    tree, x = np.divmod(order[:leaves], 1 << forest.depth)
+                    leaf.append((tree << 32) + x)
+                    rows += [i] * len(x)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf, pa.int64()), some.column(0).take(pa.array(rows, pa.int64())),
+                    [pa.array(np.concatenate(leaf), pa.int64()), some.column(0).take(pa.array(rows, pa.int64())),
                      some.column(1).take(pa.array(rows, pa.int64()))],
                     names=["leaf", "number", "vector"])
 

@@ -169,6 +169,21 @@ def test_nearest_matches_brute_force(spark):
     assert ann.nearest(frame.where("false")).count() == 0
 
 
+def test_nearest_keeps_recall_where_leaves_are_many(spark, monkeypatch):
+    """Over 4,000 leaves in all: a hundred of them hold few of the neighbours."""
+    monkeypatch.setattr(ann, "LEAF", 8)
+    vectors = np.random.default_rng(6).standard_normal((4000, 32)).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    unit = vectors / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(frame).collect()}
+    want = {(q, int(i)) for q in range(0, 4000, 50)
+            for i in np.argsort(-(unit @ unit[q]), kind="stable")[1:6]}
+    assert len(got) == len(want) == 400 and len(got & want) >= 0.9 * len(want)
+    fixed = {(r.query_id, r.vec_id) for r in ann.nearest(frame, probes=100).collect()}
+    assert len(fixed & want) < 0.9 * len(want)
+
+
 def test_language_id_on_held_out_documents(spark, edge, none):
     found = catalog.op4_language_id(spark, DATA).toPandas().merge(
         spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").toPandas())
