@@ -326,6 +326,35 @@ def test_line_dedup_matches_brute_force(spark, none):
     assert line_dedup.dedup_lines(none).count() == 0
 
 
+def test_line_dedup_finds_small_edits_of_ordinary_lines(spark):
+    """One character or one word of lines of 8 to 30 words; a mark at the end."""
+    texts, edits = [], {}
+    for k, n in enumerate(range(8, 31, 2)):
+        words = prose(900 + k, n).split()
+        line, at = " ".join(words), n // 2
+        other = [f"{line}!", " ".join([*words[:at], words[at][:-1] + "X", *words[at + 1:]])]
+        if n >= 20:
+            other.append(" ".join([*words[:at], "other", *words[at + 1:]]))
+        for x in other:
+            edits[len(texts) + 1] = n
+            texts += [line, x]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    gone = {r.row.doc_id for r in found.collect() if r.emptied}
+    assert len(gone & set(edits)) >= 0.9 * len(edits)
+
+
+def test_line_shingles_start_at_every_character(spark):
+    lines = ["abcdefg", "abcd", "a", "日本語日本語日", "𝒳𝒴𝒵 a😀é", "  x  ", "aaaaaaaaaaaa"]
+    frame = spark.createDataFrame(list(enumerate(lines)), "line_id long, line string")
+    got = {r.line_id: r.set for r in
+           line_dedup.shingle_sets(frame, frame.select("line_id")).collect()}
+    for i, line in enumerate(lines):
+        want = set(re.findall(line_dedup.PATTERN.replace("(?s)", ""), line, re.S))
+        assert want == {line[k:k + 5] for k in range(max(1, len(line) - 4))}
+        assert len(got[i]) == len(set(got[i])) == len(want)
+
+
 def test_line_dedup_loses_no_link_of_large_buckets(spark):
     """Two chains of edits off one line, each step a link and the ends far apart."""
     words = prose(50, 60).split()
