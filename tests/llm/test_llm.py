@@ -146,6 +146,29 @@ def test_chat_keeps_maximal_conversations(spark):
     assert chat.format_chats(empty).count() == 0
 
 
+def test_chat_cuts_blocks_by_rows(spark, monkeypatch):
+    """Lost ids, null turns and one repeated turn number: no block holds over ROWS turns."""
+    monkeypatch.setattr(chat, "ROWS", 50)
+    lost = [(None, k % 8, "user", f"lost {k:04d}") for k in range(700)]
+    null_turns = [(1, None, "user", f"null {k:04d}") for k in range(300)]
+    again = [(2, 3, "user", f"again {k:04d}") for k in range(300)] + [(2, 4, "user", "end")]
+    copy = [(3, *t[1:]) for t in again] + [(4, *t[1:]) for t in again[:200]]
+    repeated = [(5, 0, "user", "same")] * 200
+    turns = lost + null_turns + again + copy + repeated
+    got = {}
+    for r in chat.format_chats(spark.createDataFrame(
+            turns, "conv_id long, turn long, role string, text string")).collect():
+        got.setdefault(r.conv_id, {})[r.part] = r
+    assert set(got) == {None, 1, 2, 5}
+    for conv, rows in ((None, lost), (1, null_turns), (2, again), (5, repeated[:1])):
+        parts = [got[conv][p] for p in range(len(got[conv]))]
+        assert {(r.n_parts, r.n_turns) for r in parts} == {(len(parts), len(rows))}
+        assert all(r.text.count("<|im_start|>") <= 50 for r in parts)
+        assert "".join(r.text for r in parts) == "".join(
+            f"<|im_start|>user\n{t[3]}<|im_end|>\n" for t in sorted(rows, key=lambda t: t[1:]))
+    assert got[2][0].n_copies == 2
+
+
 def test_nearest_matches_brute_force(spark):
     rng = np.random.default_rng(5)
     vectors = rng.standard_normal((300, 8)).astype(np.float32)
