@@ -278,6 +278,22 @@ def test_token_counts_match_brute_force(edge, none):
     assert token_counts.count_tokens(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_token_counts_of_whole_texts_with_a_small_cache(edge, monkeypatch):
+    monkeypatch.setattr(token_counts, "CACHE", 5)
+    monkeypatch.setattr(token_counts, "TEXTS", 2)
+    scores, _ = token_counts.unigram_scores(RANKS)
+    pattern = token_counts.Cutter(public_tokenizers.PATTERN).pattern
+    want, known = [], {}
+    for doc, text, *_ in edge_rows():
+        pieces = pattern.findall(text or "")
+        for p in set(pieces) - known.keys():
+            known[p] = best_count(p.encode(), scores)
+        want.append((-1 if doc is None else doc, len(pieces), sum(known[p] for p in pieces)))
+    got = token_counts.count_tokens(edge.coalesce(1), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_pieces, r.n_tokens)
+                  for r in got) == sorted(want)
+
+
 def test_shards_are_even_and_slots_gapless(spark, edge, none):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     copies = docs.limit(1).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(100)))).select(
