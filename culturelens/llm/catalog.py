@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culturelens.llm import (
-    ann, bpe, chat, langid, line_dedup, packing, quality, sharding, simhash, token_counts,
+    ann, bpe, chat, langid, lexical, line_dedup, packing, periodic, pii, quality, sharding,
+    simhash, token_counts,
 )
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -83,10 +84,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path(WORD_BPE)).drop("loss")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find_runs(table(spark, sf_dir, "documents"), repeated=True)
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_simhash_dedup, op2_chat_formatting, op3_nearest_neighbours, op4_language_id,
              op5_quality_rules, op6_token_counts, op7_kd_sharding, op8_byte_bpe, op9_line_dedup,
-             op10_packing)
+             op10_packing, op11_pii, op12_lexical_search, op13_periodic_runs)
     return {q.__name__: q for q in found}
 
 
@@ -156,6 +169,39 @@ judged as (
 select *, not base_failed and failed_rules = '' as kept from judged
 """
 
+SEARCH_SQL = rf"""
+with doc_terms as (
+  select row_number() over () as r, doc_id,
+    regexp_extract_all(translate(text, '{lexical.UPPER}', '{lexical.LOWER}'),
+      '{lexical.TERM}') as terms
+  from documents),
+stats as (
+  select count(*) as nd, sum(len(terms))::bigint as nt from doc_terms where len(terms) > 0),
+item_terms as (
+  select distinct item_id, unnest(regexp_extract_all(
+    translate(text, '{lexical.UPPER}', '{lexical.LOWER}'), '{lexical.TERM}')) as term
+  from benchmark),
+tf as (
+  select r, term, count(*) as tf from (select r, unnest(terms) as term from doc_terms)
+  where term in (select term from item_terms) group by all),
+weights as (
+  select term, floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1)))::bigint as w
+  from tf, stats group by term, nd),
+parts as (
+  select r, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * len(terms) * nd) // nt)))
+    as part
+  from tf join weights using (term) join doc_terms using (r), stats),
+scores as (
+  select item_id, r, sum(part)::bigint as score
+  from item_terms join parts using (term) group by all having sum(part) > 0),
+ranked as (
+  select item_id, doc_id, score, cast(row_number() over (partition by item_id
+    order by score desc, doc_id nulls last) as int) as rank
+  from scores join doc_terms using (r))
+select item_id, rank, doc_id, score from ranked where rank <= {lexical.TOP}
+"""
+
 
 def llm_oracles() -> dict[str, str]:
-    return {"op2_chat_formatting": CHAT_SQL, "op5_quality_rules": QUALITY_SQL}
+    return {"op2_chat_formatting": CHAT_SQL, "op5_quality_rules": QUALITY_SQL,
+            "op12_lexical_search": SEARCH_SQL}
