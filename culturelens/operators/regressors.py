@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,7 @@ from culturelens import fixed
 from culturelens.operators.longform import to_long
 
 VECTOR = "_features"
+FOREST_BUCKETS = 16
 # Collinear features make the solver iterate on the (small) normal equations:
 # let it run until it has settled.
 SETTLED = {"tol": 1e-13, "maxIter": 1000}
@@ -112,58 +112,42 @@ def _trees(name: str, model, features: Sequence[str]) -> Regressor:
     )
 
 
-def fit_forest(
-    train: DataFrame,
-    features: Sequence[str],
-    label: str,
-    trees: int = 100,
-    depth: int = 8,
-    seed: int = fixed.ROW_SEED,
-) -> Regressor:
-    """Random forest that looks at every feature in every split."""
-    model = RandomForestRegressor(
-        featuresCol=VECTOR, labelCol=label, numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="all", seed=seed,
-    ).fit(assemble(train, features).select(VECTOR, label))
-    return _trees("RandomForest", model, features)
-
+def bucketed(train: DataFrame, row_key: str, buckets: int) -> DataFrame:
+    """The rows in a fixed number of partitions by the hash of their key, ordered inside.
 
-def use_checkpoint_folder(spark: SparkSession) -> None:
-    """Set the shared folder that the session names; one of this machine only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-        "spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("boosting needs a shared folder in spark.checkpoint.dir")
-        folder = tempfile.mkdtemp(prefix="checkpoints-")
-    context.setCheckpointDir(folder)
+    MLlib draws rows partition by partition: so the draw follows the rows alone, not the
+    files, cores or partitions they come in.
+    """
+    key = F.col(f"`{row_key}`").cast("string")
+    spread = train.withColumn("_key", F.xxhash64(key)).repartition(buckets, "_key")
+    return spread.sortWithinPartitions("_key", key).drop("_key")
 
 
-def fit_boosted(
+def fit_forest(
     train: DataFrame,
     features: Sequence[str],
     label: str,
-    rounds: int = 300,
-    depth: int = 6,
-    rate: float = 0.03,
-    share: float = 0.8,
+    row_key: str,
+    trees: int = 100,
+    depth: int = 8,
     seed: int = fixed.ROW_SEED,
+    bootstrap: bool = True,
+    bins: int = 32,
+    buckets: int = FOREST_BUCKETS,
+    memory_mb: int = 512,
 ) -> Regressor:
-    """Boosted trees with row and column subsampling.
+    """Random forest that looks at every feature in every split.
 
-    Every ten rounds the fit cuts its lineage in the shared folder that the
-    session names in ``spark.checkpoint.dir``; a cluster without one is an error.
+    Without ``bootstrap`` and with one tree it is a regression tree, exact where no feature
+    has more than ``bins`` distinct values. ``buckets`` must suit the table (a bucket is a
+    task); another number draws other rows. ``memory_mb`` of statistics are gathered a pass.
     """
-    use_checkpoint_folder(train.sparkSession)
-    model = GBTRegressor(
-        featuresCol=VECTOR, labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate,
-        subsamplingRate=share, featureSubsetStrategy=str(share), seed=seed,
-        checkpointInterval=10,
-    ).fit(assemble(train, features).select(VECTOR, label))
-    return _trees("Boosted", model, features)
+    rows = bucketed(train, row_key, buckets)
+    model = RandomForestRegressor(
+        featuresCol=VECTOR, labelCol=label, numTrees=trees, maxDepth=depth, maxBins=bins,
+        featureSubsetStrategy="all", seed=seed, bootstrap=bootstrap, maxMemoryInMB=memory_mb,
+    ).fit(assemble(rows, features).select(VECTOR, label))
+    return _trees("RandomForest", model, features)
 
 
 def importance_table(

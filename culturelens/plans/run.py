@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from culturelens import fixed
-from culturelens.operators import cleaning, ensemble, evaluation, features, holdout
+from culturelens.operators import boosting, cleaning, ensemble, evaluation, features, holdout
 from culturelens.operators import networks, regressors, scaling, selection
 from culturelens.operators.leakage import drop_leaks
 from culturelens.roles import DEFAULT_ROLES, Roles, candidate_columns
@@ -48,6 +48,8 @@ class RunConfig:
     boosted_depth: int = 6
     epochs: int = networks.EPOCHS
     penalty_floor: str = "zero"        # or 'scaled_zero'
+    native_scoring: bool = False       # networks score without Python, at many times the cost
+    state_folder: str | None = None    # boosting and networks go on from their states there
 
 
 @dataclass
@@ -126,8 +128,8 @@ def choose_features(
     importances = None
     if "forest" in config.selectors:
         forest = regressors.fit_forest(
-            fit_rows, candidates, roles.target, config.selector_trees, config.selector_depth,
-            config.row_seed,
+            fit_rows, candidates, roles.target, roles.row_id, config.selector_trees,
+            config.selector_depth, config.row_seed,
         )
         importances = regressors.importance_table(spark, forest)
     ballot = selection.votes(scores, importances)
@@ -218,21 +220,25 @@ def fit_models(
     y, row_id = SCALED_TARGET, config.roles.row_id
     floor = 0.0 if config.penalty_floor == "scaled_zero" else -target.mean / target.std
 
-    def net(kind: str) -> regressors.Regressor:
-        return networks.fit_net(train, held, names, y, row_id, kind, config.epochs,
-                                config.row_seed, floor)
+    def state(name: str) -> str | None:
+        return config.state_folder and f"{config.state_folder}/{name}"
 
     fits = {
         "Linear": lambda: regressors.fit_ols(train, names, y),
         "Ridge": lambda: regressors.fit_ridge(train, names, y, config.ridge_alpha),
         "RandomForest": lambda: regressors.fit_forest(
-            train, names, y, config.forest_trees, config.forest_depth, config.row_seed),
-        "Boosted": lambda: regressors.fit_boosted(
-            train, names, y, config.boosted_rounds, config.boosted_depth, seed=config.row_seed),
-        "PenaltyNet": lambda: net("dense"),
-        "GatedNet": lambda: net("gated"),
+            train, names, y, row_id, config.forest_trees, config.forest_depth, config.row_seed),
+        "Boosted": lambda: boosting.fit_boosted(
+            train, names, y, row_id, config.boosted_rounds, config.boosted_depth,
+            seed=config.row_seed, folder=state("boosted")),
     }
-    return [fits[name]() for name in ALL_MODELS if name in config.models]
+    models = [fit() for name, fit in fits.items() if name in config.models]
+    kinds = [kind for kind, name in networks.NAMES.items() if name in config.models]
+    if kinds:
+        models += networks.fit_nets(
+            train, held, names, y, row_id, kinds, config.epochs, config.row_seed, floor,
+            folder=state("networks"), native=config.native_scoring)
+    return models
 
 
 def predictions(scaled: DataFrame, fitted: FittedRun) -> DataFrame:

@@ -3,6 +3,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from culturelens.operators import boosting
 from culturelens.operators import networks as nets
 from culturelens.operators import regressors as reg
 
@@ -65,7 +66,7 @@ def test_forest_stump_finds_the_best_split(spark):
         [(float(i), float(i % 3), 1.0 if i < 12 else 5.0, f"r{i}") for i in range(40)],
         "a double, b double, y double, row_id string",
     )
-    model = reg.fit_forest(table, ["a", "b"], "y", trees=5, depth=1)
+    model = reg.fit_forest(table, ["a", "b"], "y", "row_id", trees=5, depth=1)
     out = model.predict(table, "p").toPandas()
     assert out[out.a < 10].p.max() < 2.0 and out[out.a > 14].p.min() > 4.5
     assert model.importances[0] == pytest.approx(1.0)
@@ -73,7 +74,7 @@ def test_forest_stump_finds_the_best_split(spark):
 
 def test_boosting_beats_the_mean_and_reports_importances(spark, rows):
     _, y = ordered(rows)
-    model = reg.fit_boosted(rows, NAMES, "y", rounds=25, depth=3, rate=0.2)
+    model = boosting.fit_boosted(rows, NAMES, "y", "row_id", rounds=25, depth=3, rate=0.2)
     assert np.mean((predicted(model, rows) - y) ** 2) < 0.3 * y.var()
     table = [r.feature for r in reg.importance_table(spark, model, top=2).collect()]
     assert set(table) == {"a", "b"}
@@ -103,15 +104,16 @@ def test_gradient_against_finite_differences(data, kind):
         assert g[i] == pytest.approx((up - down) / 2e-6, rel=1e-3, abs=1e-3)
 
 
-@pytest.mark.parametrize("direct", [nets.DIRECT_PARTS, 1])
-def test_gradient_job_does_not_depend_on_the_partitioning(rows, monkeypatch, direct):
-    monkeypatch.setattr(nets, "DIRECT_PARTS", direct)
-    spec, params = spec_for("dense"), nets.initial_params("dense", 3, seed=4)
+@pytest.mark.parametrize("arity", [64, 2])
+def test_gradient_job_does_not_depend_on_the_partitioning(rows, arity):
+    both = [(spec_for(k), nets.initial_params(k, 3, seed=4)) for k in ("dense", "gated")]
     seeded = rows.withColumn(nets.ROW_SEED, F.xxhash64("row_id"))
-    one = nets.gradient_job(seeded.coalesce(1), spec, params, NAMES, "y", 5)
-    many = nets.gradient_job(seeded.repartition(9), spec, params, NAMES, "y", 5)
-    assert one[0] == pytest.approx(many[0], rel=1e-12)
-    assert np.allclose(one[1], many[1], atol=1e-12)
+    one = nets.gradient_job(seeded.coalesce(1), both, NAMES, "y", 5)
+    many = nets.gradient_job(seeded.repartition(9), both, NAMES, "y", 5, arity=arity)
+    for net, a, b in zip(both, one, many):
+        alone = nets.gradient_job(seeded, [net], NAMES, "y", 5)[0]
+        assert a[0] == pytest.approx(b[0], rel=1e-12) == pytest.approx(alone[0], rel=1e-12)
+        assert np.allclose(a[1], b[1], atol=1e-12) and np.allclose(a[1], alone[1], atol=1e-12)
 
 
 def test_dropout_rate_and_scale():
@@ -143,3 +145,128 @@ def test_training_lowers_the_error_and_keeps_the_best_checkpoint(rows, monkeypat
     error = np.mean((predicted(model, rows) - y) ** 2)
     assert error == pytest.approx(min(h for _, _, h in seen), rel=1e-9)
     assert error < y.var()
+
+
+@pytest.mark.parametrize("kind", ["dense", "gated"])
+def test_native_scores_equal_the_forward_pass_without_python(rows, kind):
+    spec, params = spec_for(kind), nets.initial_params(kind, 3, seed=4)
+    scored = nets.net_regressor("n", spec, params, NAMES, native=True).predict(rows, "p")
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    x, _ = ordered(rows)
+    got = scored.toPandas().sort_values("row_id").p.to_numpy()
+    assert np.allclose(got, nets.forward(spec, params, x)[0], atol=1e-9)
+
+
+def test_networks_go_on_from_a_written_checkpoint(rows, tmp_path):
+    def fit(epochs, folder=None):
+        return nets.fit_nets(rows, rows, NAMES, "y", "row_id", ["dense", "gated"], epochs=epochs,
+                             check_every=3, folder=folder, history=lambda *h: seen.append(h))
+
+    seen = []
+    whole = [predicted(m, rows) for m in fit(9)]
+    seen = []
+    fit(5, str(tmp_path))                    # cut after a checkpoint at epoch 4
+    first = len(seen)
+    resumed = [predicted(m, rows) for m in fit(9, str(tmp_path))]
+    assert {e for _, e, *_ in seen[first:]} == {6, 8}
+    assert np.allclose(whole, resumed, atol=1e-9)
+
+
+# Boosted trees
+
+
+def plain_boosting(x, y, cuts, rounds, depth, rate, l1, l2):
+    """The same trees by plain loops over every cut of every node."""
+    def shrunk(g):
+        return np.sign(g) * max(abs(g) - l1, 0)
+
+    pred = np.full(len(y), y.mean())
+    for _ in range(rounds):
+        residual = np.rint((y - pred) * boosting.UNIT) / boosting.UNIT
+        nodes = [np.arange(len(y))]
+        step = np.zeros(len(y))
+        for _ in range(depth):
+            after = []
+            for rows in nodes:
+                best = (1e-6, None, None)
+                g, n = residual[rows].sum(), len(rows)
+                for k, edges in enumerate(cuts):
+                    for c in edges:
+                        left = x[rows, k] < c
+                        if not 0 < left.sum() < n:
+                            continue
+                        gl, nl = residual[rows[left]].sum(), left.sum()
+                        gain = (shrunk(gl) ** 2 / (nl + l2)
+                                + shrunk(g - gl) ** 2 / (n - nl + l2) - shrunk(g) ** 2 / (n + l2))
+                        if gain > best[0] + 1e-12:
+                            best = (gain, rows[left], rows[~left])
+                if best[1] is None:
+                    step[rows] = rate * shrunk(g) / (n + l2)
+                else:
+                    after += best[1:]
+            nodes = after
+        for rows in nodes:
+            step[rows] = rate * shrunk(residual[rows].sum()) / (len(rows) + l2)
+        pred = pred + step
+    return pred
+
+
+def test_boosted_trees_equal_plain_loops(rows):
+    x, y = ordered(rows)
+    cuts = [np.quantile(x[:, k], np.arange(1, 12) / 12) for k in range(3)]
+    model = boosting.fit_boosted(rows, NAMES, "y", "row_id", rounds=3, depth=3, rate=0.3, share=1.0,
+                                 column_share=1.0, cuts=cuts)
+    want = plain_boosting(x, y, cuts, 3, 3, 0.3, 0.1, 1.0)
+    assert np.allclose(predicted(model, rows), want, atol=1e-6)
+
+
+def test_trees_do_not_depend_on_the_partitions(rows):
+    made = [rows.coalesce(1), rows.repartition(4), rows.repartition(7, "a")]
+    boosted = [predicted(boosting.fit_boosted(r, NAMES, "y", "row_id", rounds=4, depth=3), rows)
+               for r in made]
+    forests = [predicted(reg.fit_forest(r, NAMES, "y", "row_id", trees=4, depth=3), rows)
+               for r in made]
+    for found in (boosted, forests):
+        assert (found[0] == found[1]).all() and (found[0] == found[2]).all()
+
+
+def test_boosting_goes_on_from_a_written_block(rows, tmp_path, monkeypatch):
+    def fit(rounds, folder=None):
+        return boosting.fit_boosted(rows, NAMES, "y", "row_id", rounds=rounds, depth=2, block=3,
+                                    folder=folder)
+
+    grown = []
+    grow = boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda *a: grown.append(a[2]) or grow(*a))
+    whole = fit(8)
+    fit(4, str(tmp_path))
+    grown.clear()
+    resumed = fit(8, str(tmp_path))
+    assert grown == [4, 5, 6, 7]
+    assert (predicted(whole, rows) == predicted(resumed, rows)).all()
+
+
+def test_boosting_samples_rows_and_columns_by_tree(rows):
+    seeds = np.arange(20_000, dtype=np.int64)
+    kept = [boosting.in_sample(seeds, t, 0.8) for t in range(3)]
+    assert all(k.mean() == pytest.approx(0.8, abs=0.02) for k in kept)
+    assert (kept[0] != kept[1]).mean() == pytest.approx(0.32, abs=0.02)
+    assert boosting.in_sample(seeds, 0, 1.0).all()
+    model = boosting.fit_boosted(rows, NAMES, "y", "row_id", rounds=6, depth=1, column_share=0.34)
+    assert sum(model.importances) == pytest.approx(1.0)
+
+
+def test_boosting_on_a_constant_label(rows):
+    flat = rows.withColumn("y", F.lit(2.0))
+    model = boosting.fit_boosted(flat, NAMES, "y", "row_id", rounds=3)
+    assert np.allclose(predicted(model, flat), 2.0) and sum(model.importances) == 0
+    with pytest.raises(ValueError):
+        boosting.fit_boosted(flat.limit(0), NAMES, "y", "row_id", rounds=1)
+
+
+def test_forest_rows_are_bucketed_alike(rows):
+    one, many = (reg.bucketed(r, "row_id", 5).withColumn("p", F.spark_partition_id())
+                 for r in (rows.coalesce(1), rows.repartition(9)))
+    places = [{r.row_id: r.p for r in t.collect()} for t in (one, many)]
+    assert places[0] == places[1] and len(set(places[0].values())) == 5
