@@ -10,12 +10,13 @@ from pyspark.sql import types as T
 
 from culturelens import fixed
 from culturelens.functions.numeric import rounded
-from culturelens.operators import chart_data, cleaning, ensemble, evaluation, features, holdout
-from culturelens.operators import leakage, networks, regressors, scaling, selection
+from culturelens.operators import boosting, chart_data, cleaning, ensemble, evaluation, features
+from culturelens.operators import holdout, leakage, networks, regressors, scaling, selection
 from culturelens.plans.run import ENSEMBLE, SCALED_TARGET, FittedRun, RunConfig, run
 from culturelens.roles import DEFAULT_ROLES as R
-from culturelens.sources import tables
-from culturelens.sources.culture import culture_view
+from culturelens.sources import store, tables
+from culturelens.sources.culture import culture_rows, culture_view
+from culturelens.streaming.scoring import score_available
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,8 +33,13 @@ LINES = {
 BEST = "pred_Capacity"
 
 # Queries of 300 boosting rounds, by far the longest: registered after all others.
-LAST = ("boosted_predictions", "boosted_top_features", "all_model_predictions",
-        "full_run_evaluation")
+LAST = ("boosted_predictions", "full_run_evaluation", "all_model_predictions",
+        "boosted_top_features", "full_run_report", "full_run_scores")
+
+# Given cuts of the responses, and sensors of few distinct values: trees that SQL can repeat.
+STUMP_CUTS = [k / 16 for k in range(1, 16)]
+TREE_FEATURES = ["Temperature_C", "pH", "PAR_umol_m2_s"]
+TREE_BINS = 64
 
 # Rows spoiled by their own values, to exercise the cleaning of invalid numbers.
 SPOILED_SQL = """
@@ -168,19 +174,35 @@ def fitted_predictions(fit) -> Query:
     return query
 
 
-def full_run(spark: SparkSession, sf: str, *models: str) -> FittedRun:
-    """The whole run at the library's own settings."""
-    config = RunConfig(models=models) if models else RunConfig()
-    return run(culture_view(spark, sf), config)
+FULL = RunConfig()
+# The run with the parts that other engines can repeat exactly.
+CLOSED_FORM = RunConfig(
+    selectors=("correlation", "f_score"), max_features=3, models=("Linear", "Ridge"),
+    ridge_alpha=100.0,
+)
+_runs: dict[RunConfig, tuple[tuple[str, str], FittedRun]] = {}
+
+
+def shared_run(spark: SparkSession, sf: str, config: RunConfig) -> FittedRun:
+    """One fit for all queries of a session over the same tables; others are released."""
+    key = (spark.sparkContext.applicationId, sf)
+    held = _runs.get(config)
+    if held is None or held[0] != key:
+        if held is not None and held[0][0] == key[0]:
+            held[1].release()
+        _runs[config] = (key, run(culture_view(spark, sf), config))
+    return _runs[config][1]
 
 
 def closed_form_fit(spark: SparkSession, sf: str) -> FittedRun:
-    """The whole run with the parts that other engines can repeat exactly."""
-    config = RunConfig(
-        selectors=("correlation", "f_score"), max_features=3, models=("Linear", "Ridge"),
-        ridge_alpha=100.0,
-    )
-    return run(culture_view(spark, sf), config)
+    return shared_run(spark, sf, CLOSED_FORM)
+
+
+def release_runs() -> None:
+    """Drop the fits that this session shares, and what they keep cached."""
+    for _, fitted in _runs.values():
+        fitted.release()
+    _runs.clear()
 
 
 # Queries
@@ -267,7 +289,8 @@ def feature_votes(spark, sf):
 
 
 def forest_importance(spark, sf):
-    fitted = full_run(spark, sf, "Linear")
+    fitted = run(culture_view(spark, sf), RunConfig(models=("Linear",)))
+    fitted.release()
     return fitted.importances
 
 
@@ -394,15 +417,82 @@ def model_weights(spark, sf):
 
 
 def all_model_predictions(spark, sf):
-    fitted = full_run(spark, sf)
+    fitted = shared_run(spark, sf, FULL)
     return fitted.validation.select(
         "row_id", *[ensemble.prediction_column(n) for n in fitted.names]
     )
 
 
 def score_raw_rows(spark, sf):
-    scored = closed_form_fit(spark, sf).score(culture_view(spark, sf))
-    return shown(scored.select("row_id", "Scenario", "pred_Linear", "pred_Ridge", "pred_Ensemble"))
+    return shown(closed_form_fit(spark, sf).score(culture_view(spark, sf)))
+
+
+def streamed_scores(spark, sf):
+    """The rows of a file stream scored into a table, all that is available now."""
+    fitted = closed_form_fit(spark, sf)
+    path = f"{sf}/lineitem.parquet"
+    schema = spark.read.parquet(path).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(
+        path + "*")    # a pattern, since a stream reads no single file by its name
+    scored = score_available(culture_rows(stream), fitted, store.fresh_folder(spark, "scores"))
+    names = [ensemble.prediction_column(n) for n in fitted.names]
+    return shown(scored.select("row_id", R.group, *names))
+
+
+def boosted_stumps(spark, sf):
+    """Two rounds of boosted trees of depth one at given cuts, without sampling."""
+    train, _, validation = splits(featured(spark, sf))
+    model = boosting.fit_boosted(
+        train, RESPONSES, R.target, R.row_id, rounds=2, depth=1, rate=0.3, share=1.0,
+        column_share=1.0, cuts=[STUMP_CUTS] * len(RESPONSES),
+    )
+    return shown(model.predict(validation, "predicted").select("row_id", "predicted"))
+
+
+def regression_tree(spark, sf):
+    """The forest learner as one tree of depth two without bootstrap."""
+    train, _, validation = splits(culture_view(spark, sf))
+    model = regressors.fit_forest(
+        train.select(R.row_id, *TREE_FEATURES, R.target), TREE_FEATURES, R.target, R.row_id,
+        trees=1, depth=2, bootstrap=False, bins=TREE_BINS,
+    )
+    return model, validation
+
+
+def tree_predictions(spark, sf):
+    model, validation = regression_tree(spark, sf)
+    return shown(model.predict(validation, "predicted").select("row_id", "predicted"))
+
+
+def tree_importances(spark, sf):
+    model, _ = regression_tree(spark, sf)
+    return shown(regressors.importance_table(spark, model))
+
+
+def initial_nets(rows: DataFrame, target) -> dict[str, networks.Net]:
+    return {kind: networks.untrained(rows, RESPONSES, kind, floor=_floor(target), dropout=False)
+            for kind in networks.NAMES}
+
+
+def initial_net_scores(spark, sf):
+    """Both networks at their seeded initial weights, scored without Python."""
+    train, _, validation, target = scaled_responses(spark, sf)
+    for kind, net in initial_nets(train, target).items():
+        scorer = networks.net_regressor(networks.NAMES[kind], *net, RESPONSES, native=True)
+        validation = scorer.predict(validation, kind)
+    return shown(validation.select("row_id", *[
+        target.invert(kind).alias(name) for kind, name in networks.NAMES.items()]))
+
+
+def initial_net_losses(spark, sf):
+    """The loss of the first epoch of both networks, without dropout, from one gradient job."""
+    train, _, _, target = scaled_responses(spark, sf)
+    nets = initial_nets(train, target)
+    rows = train.withColumn(networks.ROW_SEED, F.xxhash64(R.row_id))
+    found = networks.gradient_job(rows, list(nets.values()), RESPONSES, SCALED_TARGET, 0)
+    return shown(spark.createDataFrame(
+        [(networks.NAMES[kind], loss) for kind, (loss, _) in zip(nets, found)],
+        "model string, loss double"))
 
 
 def closed_form_run(spark, sf):
@@ -424,7 +514,7 @@ def best_model(spark, sf):
 
 
 def boosted_top_features(spark, sf):
-    return full_run(spark, sf, "Boosted").top_features(spark)
+    return shared_run(spark, sf, FULL).top_features(spark)
 
 
 def run_report(spark, sf):
@@ -468,7 +558,16 @@ def multi_metric(spark, sf):
 
 
 def full_run_evaluation(spark, sf):
-    return full_run(spark, sf).metrics
+    return shared_run(spark, sf, FULL).metrics
+
+
+def full_run_report(spark, sf):
+    return shared_run(spark, sf, FULL).report(spark)
+
+
+def full_run_scores(spark, sf):
+    """Raw rows scored by all six models and the ensemble."""
+    return shared_run(spark, sf, FULL).score(culture_view(spark, sf))
 
 
 def _floor(target: scaling.StandardScaler) -> float:
@@ -540,19 +639,25 @@ def all_queries() -> dict[str, Query]:
             lambda train, inner, target: regressors.fit_ridge(train, RESPONSES, y, alpha=100.0)
         ),
         "forest_predictions": fitted_predictions(
-            lambda train, inner, target: regressors.fit_forest(train, RESPONSES, y)
+            lambda train, inner, target: regressors.fit_forest(train, RESPONSES, y, R.row_id)
         ),
         "boosted_predictions": fitted_predictions(
-            lambda train, inner, target: regressors.fit_boosted(train, RESPONSES, y)
+            lambda train, inner, target: boosting.fit_boosted(train, RESPONSES, y, R.row_id)
         ),
         "penalty_net_predictions": fitted_predictions(net_fit("dense")),
         "gated_net_predictions": fitted_predictions(net_fit("gated")),
         "checkpoint_history": checkpoint_history,
+        "tree_predictions": tree_predictions,
+        "tree_importances": tree_importances,
+        "boosted_stumps": boosted_stumps,
+        "initial_net_scores": initial_net_scores,
+        "initial_net_losses": initial_net_losses,
         # ensemble
         "holdout_errors": holdout_errors,
         "model_weights": model_weights,
         "all_model_predictions": all_model_predictions,
         "score_raw_rows": score_raw_rows,
+        "streamed_scores": streamed_scores,
         "ensemble_prediction": ensemble_prediction,
         # evaluation
         "model_metrics": model_metrics,
@@ -570,5 +675,7 @@ def all_queries() -> dict[str, Query]:
         # end to end
         "closed_form_run": closed_form_run,
         "full_run_evaluation": full_run_evaluation,
+        "full_run_report": full_run_report,
+        "full_run_scores": full_run_scores,
     })
     return found

@@ -6,7 +6,8 @@ view and the column names are shared.
 
 from __future__ import annotations
 
-from culturelens.plans.catalog import LINES, RESPONSES, SPOILED_SQL
+from culturelens.operators import boosting, networks
+from culturelens.plans.catalog import LINES, RESPONSES, SPOILED_SQL, STUMP_CUTS, TREE_FEATURES
 from culturelens.sources.culture import CULTURE_SQL
 
 DAYS = "date_diff('day', date '1995-01-01', cast(l_shipdate as date))"
@@ -247,6 +248,116 @@ def least_squares(alpha: str) -> str:
     return f"with {chain}\nselect row_id, {r6(f'({line}) * sy + my', 'predicted')} from unseen, solved"
 
 
+# Two rounds of boosted stumps: whole residual units, gains with both penalties.
+UNITS = f"{boosting.UNIT}e0"
+
+
+def _shrunk(g: str) -> str:
+    return f"sign({g}) * greatest(abs({g}) - 1e-1, 0e0)"
+
+
+def _stump(k: int, source: str) -> str:
+    cells = union_all(
+        f"select {f} as f, {c!r}::double as c, sum(g) filter ({x} < {c!r}) as gl,"
+        f" count(*) filter ({x} < {c!r}) as nl, sum(g) as gt, count(*) as nt from residual{k}"
+        for f, x in enumerate(RESPONSES) for c in STUMP_CUTS)
+    sides = {"l": ("gl", "nl"), "r": ("(gt - gl)", "(nt - nl)"), "t": ("gt", "nt")}
+    shrunk = {s: _shrunk(f"{g} / {UNITS}") for s, (g, _) in sides.items()}
+    gain = " + ".join(f"({shrunk[s]}) * ({shrunk[s]}) / ({sides[s][1]} + 1e0)" for s in "lr")
+    case = " ".join(f"when {f} then {x}" for f, x in enumerate(RESPONSES))
+    return f"""residual{k} as (
+  select *, round_even((Biomass_g_L - p) * {UNITS}, 0)::bigint as g from {source}
+  where row_id in (select row_id from inner_train)),
+cells{k} as (select *, {gain} - ({shrunk['t']}) * ({shrunk['t']}) / (nt + 1e0) as gain
+  from ({cells}) where nl > 0 and nl < nt),
+cut{k} as (select f, c, 3e-1 * ({shrunk['l']}) / (nl + 1e0) as vl,
+    3e-1 * ({shrunk['r']}) / (nt - nl + 1e0) as vr
+  from cells{k} order by gain desc, f, c limit 1),
+round{k} as (select * exclude (p, f, c, vl, vr),
+    p + case when case f {case} end < c then vl else vr end as p
+  from {source}, cut{k})"""
+
+
+def boosted_stumps() -> str:
+    return f"""with {SPLIT_CHAIN},
+round0 as (select *, (select sum(round(Biomass_g_L * {UNITS})::hugeint)::double / {UNITS} / count(*)
+  from inner_train) as p from featured),
+{_stump(1, 'round0')},
+{_stump(2, 'round1')}
+select row_id, {r6('p', 'predicted')} from round2 where row_id in (select row_id from validation)"""
+
+
+# A regression tree of depth two: prefix sums over the ordered values of each sensor.
+def _best_cuts(level: int, source: str) -> str:
+    values = union_all(
+        f"select node, {f} as f, {x} as x, count(*) as n, sum(Biomass_g_L) as s"
+        f" from {source} group by all" for f, x in enumerate(TREE_FEATURES))
+    return f"""values{level} as ({values}),
+prefix{level} as (select node, f, x, sum(n) over upto as nl, sum(s) over upto as sl,
+    sum(n) over whole as nt, sum(s) over whole as st
+  from values{level} window upto as (partition by node, f order by x),
+    whole as (partition by node, f)),
+cut{level} as (select node, f, x, sl * sl / nl + (st - sl) * (st - sl) / (nt - nl)
+    - st * st / nt as gain
+  from prefix{level} where nl < nt
+  qualify row_number() over (partition by node order by gain desc, f, x) = 1)"""
+
+
+def _tree() -> str:
+    case = " ".join(f"when {f} then {x}" for f, x in enumerate(TREE_FEATURES))
+
+    def below(level: int, source: str) -> str:
+        return (f"select r.* exclude (node), 2 * r.node + 1 + (case f {case} end > c.x)::int as node"
+                f" from {source} r join cut{level} c on r.node = c.node")
+
+    return f"""with {SPLIT_CHAIN},
+grown0 as (select *, 0 as node, row_id in (select row_id from inner_train) as fits
+  from featured),
+fit0 as (select * from grown0 where fits),
+{_best_cuts(0, 'fit0')},
+grown1 as ({below(0, 'grown0')}),
+fit1 as (select * from grown1 where fits),
+{_best_cuts(1, 'fit1')},
+grown2 as ({below(1, 'grown1')}),
+leaves as (select node, avg(Biomass_g_L) as p from grown2 where fits group by node)"""
+
+
+# Both networks at their initial weights: a bias is the weight of a constant 1.
+def _weights(matrix, bias) -> str:
+    columns = [[*map(float, column), float(b)] for column, b in zip(matrix.T, bias)]
+    return "[" + ", ".join("[" + ", ".join(f"{v!r}::double" for v in c) + "]" for c in columns) + "]"
+
+
+def _units(x: str, matrix, bias, form: str = "{}") -> str:
+    unit = form.format(f"list_inner_product(list_append({x}, 1e0), w)")
+    return f"[{unit} for w in {_weights(matrix, bias)}]"
+
+
+def _net_chain() -> str:
+    width = len(RESPONSES)
+    d, g = (networks.initial_params(k, width, 42) for k in ("dense", "gated"))
+    relu, sigmoid = "greatest({}, 0e0)", "(5e-1 * (1e0 + tanh(5e-1 * {})))"
+    xs = ", ".join(f"x{k}" for k in range(1, width + 1))
+    normal = ", ".join(f"(x{k} - a{k}) / b{k}" for k in range(1, width + 1))
+    gates = {n: (g[f"w_{n}"], g[f"b_{n}"] + g[f"r_{n}"]) for n in ("in", "cell", "out")}
+    return ",\n".join([
+        SPLIT_CHAIN, QUARTILES, scaled("block", "inner_train"), scaled("unseen", "validation"),
+        "moments as (select {} from block)".format(", ".join(
+            f"avg(x{k}) as a{k}, sqrt(var_pop(x{k}) + 1e-5) as b{k}"
+            for k in range(1, width + 1))),
+        "points as (select *, true as fits from block union all select *, false from unseen)",
+        f"layer1 as (select *, {_units(f'[{normal}]', d['w1'], d['b1'], relu)} as h,"
+        f" {_units(f'[{xs}]', *gates['in'], sigmoid)} as gi,"
+        f" {_units(f'[{xs}]', *gates['cell'], 'tanh({})')} as gc,"
+        f" {_units(f'[{xs}]', *gates['out'], sigmoid)} as go from points, moments)",
+        f"layer2 as (select *, {_units('h', d['w2'], d['b2'], relu)} as h2,"
+        " [go[i] * tanh(gi[i] * gc[i]) for i in range(1, len(go) + 1)] as state from layer1)",
+        f"layer3 as (select *, {_units('state', g['w1'], g['b1'], relu)} as s1 from layer2)",
+        f"scored as (select *, {_units('h2', d['w3'], d['b3'])}[1] as dense,"
+        f" {_units('s1', g['w2'], g['b2'])}[1] as gated from layer3)",
+    ])
+
+
 # The whole run on the three leading features, whichever these turn out to be.
 def _value_of(k: int, source: str) -> str:
     cases = " ".join(f"when '{c}' then {source}.{c}" for c in CANDIDATES)
@@ -498,8 +609,29 @@ select point, {r6('x')}, {r6('exp(-((x - mean) / deviation) * ((x - mean) / devi
   {r6('mean')}, {r6('deviation')} from curve""",
         "closed_form_run": f"{_whole_run()}\nselect model,"
         f" {shown(['r2', 'rmse', 'mae', 'mape', 'nse', 'bias'])}, risk from metrics",
-        "score_raw_rows": f"{_whole_run()}\nselect row_id, Scenario,"
+        "streamed_scores": f"{_whole_run()}\nselect row_id, Scenario,"
         f" {shown(['pred_Linear', 'pred_Ridge', 'pred_Ensemble'])} from unscaled",
+        "score_raw_rows": f"{_whole_run()}\nselect row_id, culture.Scenario, Growth_Phase,"
+        f" {shown([*SOURCE, 'Biomass_g_L', 'Optical_Density_750'])},"
+        f" round(Cell_Concentration_cells_mL, 0) + 0e0 as Cell_Concentration_cells_mL,"
+        f" {shown(['pred_Linear', 'pred_Ridge', 'pred_Ensemble'])}"
+        " from unscaled join culture using (row_id)",
+        "boosted_stumps": boosted_stumps(),
+        "tree_predictions": f"{_tree()}\nselect row_id, {r6('p', 'predicted')}"
+        " from grown2 join leaves using (node) where row_id in (select row_id from validation)",
+        "tree_importances": f"{_tree()}, gains as (select f, gain from cut0 union all"
+        " select f, gain from cut1)\nselect feature, "
+        + r6("coalesce((select sum(gain) from gains where gains.f = t.f), 0e0)"
+             " / (select sum(gain) from gains)", "importance")
+        + " from (values {}) as t(f, feature)".format(
+            ", ".join(f"({f}, '{x}')" for f, x in enumerate(TREE_FEATURES))),
+        "initial_net_scores": f"with {_net_chain()}\nselect row_id,"
+        f" {r6('dense * sy + my', 'PenaltyNet')}, {r6('gated * sy + my', 'GatedNet')}"
+        " from scored where not fits",
+        "initial_net_losses": f"with {_net_chain()}\nselect 'PenaltyNet' as model, "
+        + r6("avg((dense - v) * (dense - v) + 5e-1 * greatest(-my / sy - dense, 0e0))", "loss")
+        + " from scored where fits union all select 'GatedNet', "
+        + r6("avg((gated - v) * (gated - v))", "loss") + " from scored where fits",
         "run_report": f"{_whole_run()}, best as (select * from metrics"
         f" order by r2 desc, position limit 1)\nselect model as best_model, {r6('r2')},"
         f" {r6('rmse')}, risk, 2 as n_leaks_removed, 3 as n_features from best",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from culturelens.sources.tables import spread
+from culturelens.sources.tables import read_observations, spread
 
 # {rows} is the table to read and {days} the days since 1995-01-01 in the
 # engine's own words; everything else means the same in Spark and in other SQL.
@@ -45,8 +45,12 @@ from t
 SPARK_DAYS = "datediff(l_shipdate, date'1995-01-01')"
 
 
+def culture_rows(lineitem: DataFrame) -> DataFrame:
+    """The view over rows of ``lineitem``, a table or a stream."""
+    return lineitem.sparkSession.sql(
+        CULTURE_SQL.format(rows="{rows}", days=SPARK_DAYS), rows=lineitem)
+
+
 def culture_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lineitem = spread(
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet"), "l_orderkey", "l_linenumber"
-    )
-    return spark.sql(CULTURE_SQL.format(rows="{rows}", days=SPARK_DAYS), rows=lineitem)
+    lineitem = read_observations(spark, f"{sf_dir}/lineitem.parquet", fmt="parquet")
+    return culture_rows(spread(lineitem, "l_orderkey", "l_linenumber"))
