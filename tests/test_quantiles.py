@@ -25,9 +25,9 @@ def test_known_bounds(spark):
     assert tuple(ends) == pytest.approx((4.995, 994.005))
 
 
-@pytest.mark.parametrize("limit", [quantiles.INSIDE_LIMIT, 5])
+@pytest.mark.parametrize("limit", [quantiles.LISTED, 5])
 def test_agrees_with_numpy_also_when_brackets_are_narrowed(spark, monkeypatch, limit):
-    monkeypatch.setattr(quantiles, "INSIDE_LIMIT", limit)
+    monkeypatch.setattr(quantiles, "LISTED", limit)
     rng = np.random.default_rng(3)
     n = 30_000
     hot = np.where(rng.random(n) < 0.4, 7.0, rng.normal(size=n) * 5)
@@ -47,6 +47,15 @@ def test_widens_a_bracket_the_sketch_missed(spark, monkeypatch):
     check(spark, {"v": values})
 
 
+def test_many_columns_need_no_exploded_rows(spark):
+    rng = np.random.default_rng(9)
+    check(spark, {f"c{i}": rng.normal(size=400) * i for i in range(13)})
+    df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
+    numbers = {c: F.col(c) for c in "ab"}
+    plan = quantiles._two_step(df, {}, numbers, {}, {}, {})._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
 def test_nulls_are_skipped_and_empty_columns_have_no_quantile(spark):
     df = spark.createDataFrame([(1.0, None), (None, None), (3.0, None)], "a double, b double")
     found = quantiles.exact_quantiles(df, ["a", "b"], [0.5])
