@@ -11,13 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from culturelens import fixed
 from culturelens.functions.hashing import falls_in_share, seeded_md5
 from culturelens.functions.numeric import as_column
 from culturelens.operators.quantiles import kth_smallest
+from culturelens.sources import store
 
 LISTED_GROUPS = 100_000   # most group keys ranked by one task
 
@@ -96,11 +97,21 @@ def _drawn(groups: DataFrame, key: str, seed: int, n_groups: int, n_held: int) -
     """The drawn keys; the positions take eight bytes a group on the driver."""
     picked = np.sort(np.random.RandomState(seed).choice(n_groups, n_held, replace=False))
     spark = groups.sparkSession
-    own = f"struct<`{key}`:{groups.schema[key].dataType.simpleString()}>"
-    ranked = spark.createDataFrame(
-        groups.select(key).orderBy(key).rdd.zipWithIndex(), f"own {own}, place bigint")
+    ordered = groups.select(F.col(key).alias("_held")).orderBy("_held")
+    # Written, so that the ranges that are counted are the ranges that are numbered.
+    ranges = store.write_table(ordered.withColumn("_range", F.spark_partition_id()),
+                               store.fresh_folder(spark, "groups"))
+    sizes = sorted((r["_range"], r["count"]) for r in ranges.groupBy("_range").count().collect())
+    starts, total = [], 0
+    for number, size in sizes:
+        starts.append((number, total))
+        total += size
+    within = F.row_number().over(Window.partitionBy("_range").orderBy("_held"))
+    ranked = ranges.join(
+        F.broadcast(spark.createDataFrame(starts, "_range int, _start bigint")), "_range"
+    ).withColumn("place", F.col("_start") + within - 1)
     places = spark.createDataFrame(pd.DataFrame({"place": picked.astype("int64")}))
-    return ranked.join(places, "place", "left_semi").select(F.col(f"own.`{key}`").alias("_held"))
+    return ranked.join(places, "place", "left_semi").select("_held")
 
 
 def _nth_hash(groups: DataFrame, key: str, seed: int, n: int, n_groups: int, listed: int):

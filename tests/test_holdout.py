@@ -99,3 +99,15 @@ def test_split_counts(spark):
     df = groups_of(spark, 4)
     counts = holdout.split_counts(holdout.hold_out_groups(df, "g").flag(df)).collect()
     assert {r.split: r.n_rows for r in counts} == {"train": 15, "validation": 5}
+
+
+def test_the_draw_numbers_groups_without_python_rows(spark):
+
+    table = spark.range(0, 5000, 1, 7).selectExpr("id * 7919 % 5003 as k").union(
+        spark.createDataFrame([(None,)], "k long"))
+    held = holdout.hold_out_groups(table, "k", method="draw")
+    keys = sorted((r.k for r in table.collect()), key=lambda k: (k is not None, k or 0))
+    places = np.random.RandomState(50).choice(len(keys), len(keys) // 4, replace=False)
+    assert {r._held for r in held.keys.collect()} == {keys[p] for p in places}
+    plan = held.keys._jdf.queryExecution().toString()
+    assert "ExternalRDD" not in plan and "Python" not in plan
