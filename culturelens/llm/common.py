@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from culturelens.sources.store import shared_folder
+
 # Rows of a side that may be broadcast; beyond it the same join shuffles.
 BROADCAST_BYTES = 48 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a temporary one only where it is unset."""
-    context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
-    if folder is None:
-        folder = "file://" + tempfile.mkdtemp(prefix="checkpoints-")
-        context.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table of the shared folder, which outlives any executor."""
     spark = df.sparkSession

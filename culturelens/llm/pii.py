@@ -523,8 +523,12 @@ def fit(docs: DataFrame, id_col: str, text_col: str, sample: int = SAMPLE) -> di
     """The tagger, from snippets around the first digit or @ of `sample` texts."""
     text = F.col(text_col).cast("string")
     ahead = F.length(F.regexp_extract(text, "^[^0-9@]*", 0))
-    rows = docs.where(text.rlike(TRIGGER)).select(
-        F.xxhash64(F.col(id_col).cast("string"), text).alias("h"),
+    held = docs.where(text.rlike(TRIGGER)).withColumn(
+        "_h", F.xxhash64(F.col(id_col).cast("string"), text))
+    # About twice the sample by the hash, so that tasks send few rows, then the first of these.
+    share = min(1.0, 2 * sample / max(held.count(), 1))
+    rows = held.where(F.shiftrightunsigned("_h", 11) <= int(share * 2**53)).select(
+        F.shiftrightunsigned("_h", 11).alias("h"),
         F.substring(text, F.greatest(ahead - SNIPPET // 2, F.lit(0)) + 1,
                     F.lit(SNIPPET)).alias("snippet"),
     ).orderBy("h", "snippet").limit(sample).collect()

@@ -25,7 +25,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 NOT_SYMBOL = r"[^#*$%&|<>]+"
 LEAST_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-POSITION_BITS = (24, 31)   # of a packed window: short texts, all texts
 
 # Frequent function words of English, German, French and Spanish.
 STOP_WORDS = (
@@ -77,35 +76,35 @@ def rule_sql(rule: Rule) -> str:
                     if bound is not None])
 
 
+def window_hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def _windows() -> Column:
-    """Hash and position of each window of three words, packed into one number."""
+    """Each window of three words with its hash, which comes first, and its position."""
     w = F.col("words")
     count = F.size(w) - 2
     at = F.slice(F.sequence(F.lit(0), F.greatest(count, F.lit(1)) - 1), F.lit(1),
                  F.greatest(count, F.lit(0)))
-    return F.transform(at, lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2])
-                       .bitwiseAND(F.col("mask")).bitwiseOR(i.cast("long")))
+    return F.transform(at, lambda i: F.struct(
+        window_hash(w[i], w[i + 1], w[i + 2]).alias("h"), w[i].alias("a"),
+        w[i + 1].alias("b"), w[i + 2].alias("c"), i.alias("p")))
 
 
 def _repeated() -> Column:
-    """Sorted windows that equal a neighbour: same hash and same words."""
-    w, s, mask = F.col("words"), F.col("windows"), F.col("mask")
-
-    def place(x: Column) -> Column:
-        return x.bitwiseAND(F.bitwise_not(mask)).cast("int")
+    """Positions of the sorted windows that equal a neighbour; equal ones stand together."""
+    s = F.col("windows")
 
     def same(x: Column, y: Column) -> Column:
-        a, b = place(x), place(y)
-        return ((x.bitwiseAND(mask) == y.bitwiseAND(mask)) & (w[a] == w[b])
-                & (w[a + 1] == w[b + 1]) & (w[a + 2] == w[b + 2]))
+        return ((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"])
+                & (x["c"] == y["c"]))
 
     hits = F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1)))
-    return F.transform(hits, place)
+    return F.transform(hits, lambda x: x["p"])
 
 
 def quality_counts(docs: DataFrame, text: str = "text", carry: tuple[Column, ...] = ()) -> DataFrame:
     """`carry` columns and the counts that the rules name, one row per row of `docs`."""
-    short, long = POSITION_BITS
     names = [f"carry_{i}" for i in range(len(carry))]
     split = docs.select(
         *[c.alias(n) for c, n in zip(carry, names)], text_or_empty(text).alias("text")
@@ -121,12 +120,10 @@ def quality_counts(docs: DataFrame, text: str = "text", carry: tuple[Column, ...
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda x: x.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.when(F.size("words") < (1 << short), F.lit(-(1 << short)))
-        .otherwise(F.lit(-(1 << long))).cast("long").alias("mask"),
     )
     counts = [*names, "word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines",
               "n_stop_words"]
-    ordered = counted.select(*counts, "words", "mask", F.sort_array(_windows()).alias("windows"))
+    ordered = counted.select(*counts, F.sort_array(_windows()).alias("windows"))
     found = ordered.select(*counts, _repeated().alias("hits"))
     covered = F.flatten(F.transform("hits", lambda p: F.array(p, p + 1, p + 2)))
     return found.select(*counts, F.size(F.array_distinct(covered)).cast("long")

@@ -15,7 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from check_queries import TABLES, compare
-from culturelens.llm import catalog, lexical, periodic, pii
+from culturelens.llm import catalog, lexical, line_dedup, periodic, pii, quality
+from culturelens.sources import store
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = ("doc_id long, text string, lang string, rank string, score int, term long,"
@@ -352,3 +353,48 @@ def test_registered_runs_equal_brute_force(spark):
     got = catalog.op13_periodic_runs(spark, DATA).collect()
     assert sorted(map(tuple, got), key=str) == sorted(
         (plain_row(r.doc_id, r.text) for r in rows), key=str)
+
+
+# Repaired cases of earlier operators
+
+
+def test_repeated_words_are_exact_when_all_window_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(quality, "window_hash", lambda *words: F.lit(7).cast("long"))
+    texts = ["x y z filler one two three a b c more words x y z", "a b c a b c a b", "u v w", ""]
+    rows = quality.quality_counts(
+        spark.createDataFrame([(t,) for t in texts], "text string"), "text", (F.col("text"),))
+    got = {r.carry_0: r.n_repeat_words for r in rows.collect()}
+    for text in texts:
+        words = text.split()
+        windows = [tuple(words[i:i + 3]) for i in range(len(words) - 2)]
+        want = {i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(3)}
+        assert got[text] == len(want)
+
+
+def test_short_lines_that_differ_in_their_last_character_are_found(spark):
+    rng = random.Random(6)
+    for size in (14, 16, 20, 24, 30, 40):
+        lines = ["".join(rng.choice("aeioutnrs ") for _ in range(size - 2)) + "ab"
+                 for _ in range(150)]
+        rows = [(i, x) for k, line in enumerate(lines)
+                for i, x in ((2 * k, line), (2 * k + 1, line[:-1] + "c"))]
+        found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        gone = sum(r.n_removed for r in found.select("n_removed").collect())
+        assert gone >= 0.95 * len(lines)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(spark):
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+    with pytest.raises(ValueError):
+        store.shared_folder(Session())
