@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from culturelens import fixed
 from culturelens.functions.numeric import finite, zero_filled
@@ -24,15 +25,20 @@ def clean_invalid(
         raise ValueError("target_nulls must be 'zero' or 'drop'")
     if target_nulls == "drop":
         df = df.where(finite(f"`{roles.target}`").isNotNull())
-    numbers = set(numeric_columns(df.schema))
+    return df.select(*[x.alias(c) for c, x in valid_columns(df.schema, roles).items()])
+
+
+def valid_columns(schema: T.StructType, roles: Roles = DEFAULT_ROLES) -> dict[str, Column]:
+    """Every column with 0 for its invalid numbers; a whole-number group key keeps its type."""
+    numbers = set(numeric_columns(schema))
     keys = {roles.group} & numbers
-    return df.select(*[
-        F.coalesce(F.col(f"`{f.name}`"), F.lit(0).cast(f.dataType)).alias(f.name)
+    return {
+        f.name: F.coalesce(F.col(f"`{f.name}`"), F.lit(0).cast(f.dataType))
         if f.name in keys and f.dataType.typeName() not in ("double", "float")
-        else zero_filled(f"`{f.name}`").alias(f.name) if f.name in numbers
+        else zero_filled(f"`{f.name}`") if f.name in numbers
         else F.col(f"`{f.name}`")
-        for f in df.schema.fields
-    ])
+        for f in schema.fields
+    }
 
 
 def clipped_columns(

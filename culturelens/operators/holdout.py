@@ -67,14 +67,16 @@ def hold_out_groups(
     seed: int = fixed.GROUP_SEED,
     method: str = "hash",
     listed: int = LISTED_GROUPS,
+    groups: DataFrame | None = None,
 ) -> Holdout:
     """Hold out ``max(1, groups // 4)`` whole groups.
 
     ``hash`` takes the groups with the smallest seeded hash, at any number of
     groups. ``draw`` takes the classic NumPy draw without replacement from the
     sorted keys: the driver draws positions, a distributed index turns them into keys.
+    ``groups`` are the distinct keys, where they are known already.
     """
-    groups = distinct_groups(df, key).persist()
+    groups = (distinct_groups(df, key) if groups is None else groups).persist()
     try:
         n_groups = groups.count()
         if n_groups == 0:

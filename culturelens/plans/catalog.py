@@ -208,6 +208,33 @@ def release_runs() -> None:
 # Queries
 
 
+def csv_copies(spark: SparkSession, sf: str, spoiled: bool = False) -> str:
+    """A folder with the view as CSV files of two column orders, halved by row id.
+
+    `spoiled` puts text for the acidity of the rows of the first light step.
+    """
+    view = culture_view(spark, sf)
+    if spoiled:
+        view = view.withColumn("pH", F.when(F.col(R.light) == 9.0, F.lit("n/a"))
+                               .otherwise(F.col("pH").cast("string")))
+    folder = store.fresh_folder(spark, "observations")
+    half = F.pmod(F.xxhash64(R.row_id), F.lit(2))
+    for part, names in enumerate((view.columns, view.columns[::-1])):
+        (view.where(half == part).select(*names).write.mode("append")
+         .option("header", True).csv(folder))
+    return folder
+
+
+def csv_observations(spark, sf):
+    return shown(tables.read_observations(spark, csv_copies(spark, sf)))
+
+
+def csv_rejects(spark, sf):
+    """Every row by its id, whether its line parsed, and the acidity that was read."""
+    rows = tables.read_observations(spark, csv_copies(spark, sf, spoiled=True), rejects="_line")
+    return shown(rows.select("row_id", F.col("_line").isNotNull().alias("rejected"), "pH"))
+
+
 def shape_report(spark, sf):
     return tables.shape_report(culture_view(spark, sf))
 
@@ -585,6 +612,8 @@ def all_queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         # sources
         "observations": lambda s, d: shown(culture_view(s, d)),
+        "csv_observations": csv_observations,
+        "csv_rejects": csv_rejects,
         "shape_report": shape_report,
         "candidate_features": candidate_features,
         "drop_columns": lambda s, d: shown(

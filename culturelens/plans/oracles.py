@@ -475,6 +475,9 @@ def all_oracles() -> dict[str, str]:
     cleaned_names = ["Biomass_g_L", *SOURCE, *DERIVED]
     found = {
         "observations": view + everything,
+        "csv_observations": view + everything,
+        "csv_rejects": view + "select row_id, PAR_umol_m2_s = 9e0 as rejected, {} from culture"
+                              .format(r6("case when PAR_umol_m2_s <> 9e0 then pH end", "pH")),
         "shape_report": view + union_all(
             _nulls(c) for c in ["row_id", "Scenario", "Growth_Phase", *numbers]
         ),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from culturelens import fixed
 from culturelens.operators import boosting, cleaning, ensemble, evaluation, features, holdout
 from culturelens.operators import networks, regressors, scaling, selection
-from culturelens.operators.leakage import drop_leaks
+from culturelens.operators.profile import profile
 from culturelens.roles import DEFAULT_ROLES, Roles, candidate_columns
 
 SCALED_TARGET = "_y"
@@ -144,12 +144,15 @@ def choose_features(
     return names, ballot, table
 
 
-def split(df: DataFrame, config: RunConfig) -> tuple[holdout.Holdout, holdout.Holdout]:
+def split(
+    df: DataFrame, config: RunConfig, groups: DataFrame | None = None
+) -> tuple[holdout.Holdout, holdout.Holdout]:
     """Outer holdout (groups, or rows without a group key) and inner holdout."""
     roles = config.roles
     row_key = roles.row_id if roles.row_id in df.columns else holdout.row_identity(df)
     if roles.group in df.columns:
-        outer = holdout.hold_out_groups(df, roles.group, config.group_seed, config.group_method)
+        outer = holdout.hold_out_groups(
+            df, roles.group, config.group_seed, config.group_method, groups=groups)
     else:
         outer = holdout.hold_out_rows(row_key, seed=config.row_seed)
     by_group = config.inner_split == "group" and roles.group in df.columns
@@ -162,32 +165,36 @@ def run(df: DataFrame, config: RunConfig = RunConfig()) -> FittedRun:
     """Fit everything on ``df`` and evaluate on the held-out groups.
 
     Only names, two or three quantiles per column, group counts, model weights
-    and metrics reach the driver. The scaled rows stay cached for the lazy
-    evaluation tables; call ``release`` on the result to free them.
+    and metrics reach the driver. The source is scanned twice: once for its profile, and once
+    for the prepared rows, which stay cached for the fits. The scaled rows stay cached for the
+    lazy evaluation tables; call ``release`` on the result to free them.
     """
     roles = config.roles
-    kept, leaks = drop_leaks(df, roles, config.leak_threshold, config.known_leaks)
+    seen = profile(df, roles, config.known_leaks, config.target_nulls)
+    leaks = seen.leaks(df.columns, config.leak_threshold, config.known_leaks)
+    kept = df.drop(*leaks)
     if roles.row_id not in kept.columns:
         # Without a row id the content identifies a row, before it is changed.
         kept = kept.withColumn(roles.row_id, F.md5(holdout.row_identity(kept)))
-    levels = features.phase_levels(kept, roles)
+    levels = seen.levels if roles.phase in kept.columns else []
     prepared = prepare(kept, config, levels)
-    outer, inner = split(prepared, config)
+    outer, inner = split(prepared, config, seen.groups)
+    seen.release()
     indicators = list(features.phase_indicators(levels, roles))
 
     def fit_rows(frame: DataFrame) -> DataFrame:
         return outer.train(frame) if config.fit_on == "train" else frame
 
-    bounds = cleaning.fit_clip_bounds(
-        fit_rows(prepared), cleaning.clipped_columns(prepared, roles, indicators),
-        accuracy=config.accuracy,
-    )
+    limited = cleaning.clipped_columns(prepared, roles, indicators)
     candidates = _candidates(prepared, kept, config, levels)
     keys = [c for c in (roles.row_id, roles.group) if c in prepared.columns]
     # Keep only what the following steps read.
-    clipped = cleaning.clip(prepared, bounds).select(
-        *keys, roles.target, *[F.col(f"`{c}`") for c in candidates]
-    ).persist()
+    numbers = list(dict.fromkeys([*candidates, *limited]))
+    held = prepared.select(
+        *keys, roles.target, *[F.col(f"`{c}`") for c in numbers if c not in keys]).persist()
+    bounds = cleaning.fit_clip_bounds(fit_rows(held), limited, accuracy=config.accuracy)
+    clipped = cleaning.clip(held, bounds).select(
+        *keys, roles.target, *[F.col(f"`{c}`") for c in candidates])
     chosen, ballot, importances = choose_features(fit_rows(clipped), candidates, config)
 
     training = outer.train(clipped)
@@ -200,7 +207,7 @@ def run(df: DataFrame, config: RunConfig = RunConfig()) -> FittedRun:
     block = outer.train(scaled)
     models = fit_models(inner.train(block), inner.validation(block), chosen, target, config)
     # The fits have filled the cache of the scaled rows.
-    clipped.unpersist()
+    held.unpersist()
 
     scored = ensemble.predict_all(inner.validation(block), models)
     errors = ensemble.holdout_errors(scored, [m.name for m in models], SCALED_TARGET)

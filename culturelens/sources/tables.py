@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from culturelens.fixed import KNOWN_LEAKS
 from culturelens.roles import DEFAULT_ROLES, Roles, candidate_columns
+from culturelens.sources import headered
 
 
 class ObservationsNotFound(FileNotFoundError):
@@ -33,30 +34,37 @@ def read_observations(
     fmt: str = "csv",
     schema: T.StructType | None = None,
     roles: Roles = DEFAULT_ROLES,
+    rejects: str | None = None,
+    each_header: bool = True,
 ) -> DataFrame:
-    """Scan a headered CSV or a parquet table lazily.
+    """Scan headered CSV files or a parquet table lazily.
 
-    A CSV whose columns all have known types (or that comes with ``schema``) is
-    not read ahead of the query; unknown columns cost one inference pass. A file
-    whose header names other columns, or the same in another order, is an error.
+    CSV columns go by their names, whatever their order in a file; with ``schema`` the result
+    has its columns. Types of known columns need no pass; unknown ones cost one inference pass.
+    ``rejects`` names a column for lines that do not parse. ``each_header=False`` reads the
+    header of one file only, for folders of very many files: another header is then an error.
     """
     try:
         if fmt != "csv":
             return spark.read.format(fmt).load(path)
-        reader = spark.read.options(
-            header=True, enforceSchema=False, nanValue="NaN", positiveInf="inf", negativeInf="-inf"
-        )
-        if schema is not None:
-            return reader.schema(schema).csv(path)
-        header = reader.csv(path).columns
-        types = known_types(roles)
-        if all(name in types for name in header):
-            return reader.schema(
-                T.StructType([T.StructField(name, types[name]) for name in header])
-            ).csv(path)
-        inferred = reader.option("inferSchema", True).csv(path)
-        fields = [T.StructField(f.name, types.get(f.name, f.dataType)) for f in inferred.schema]
-        return reader.schema(T.StructType(fields)).csv(path)
+        if each_header:
+            groups = headered.files_by_header(spark, path)
+        else:
+            groups = {tuple(headered.reader(spark).csv(path).columns): [path]}
+        if not groups:
+            if schema is None:
+                raise ObservationsNotFound(f"no observation table with a header at {path}")
+            return spark.createDataFrame([], schema)
+        if schema is None:
+            types = headered.column_types(spark, groups, known_types(roles))
+            return headered.read_groups(spark, groups, types, rejects)
+        types = {name: T.StringType() for header in groups for name in header}
+        types |= {f.name: f.dataType for f in schema}
+        rows = headered.read_groups(spark, groups, types, rejects)
+        return rows.select(*[
+            F.col(f"`{f.name}`") if f.name in rows.columns
+            else F.lit(None).cast(f.dataType).alias(f.name) for f in schema
+        ], *([f"`{rejects}`"] if rejects else []))
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             raise ObservationsNotFound(f"no observation table at {path}") from error

@@ -3,6 +3,11 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from culturelens.operators.cleaning import clean_invalid
+from culturelens.operators.features import phase_levels
+from culturelens.operators.holdout import distinct_groups
+from culturelens.operators.leakage import drop_leaks, leak_report
+from culturelens.operators.profile import profile
 from culturelens.plans.run import RunConfig, run
 from culturelens.streaming.scoring import score_stream
 
@@ -102,3 +107,41 @@ def test_result_does_not_depend_on_the_partitioning(culture):
         assert left.r2 == pytest.approx(right.r2, abs=1e-9)
     one.release()
     many.release()
+
+
+def test_the_source_is_scanned_twice(spark, culture):
+    scanned = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        scanned.add(1)
+        return row
+
+    source = spark.createDataFrame(culture.rdd.map(seen), culture.schema)
+    result = run(source, FAST)
+    assert result.metrics.count() == 3
+    assert scanned.value == 2 * culture.count()
+    result.release()
+
+
+@pytest.mark.parametrize("target_nulls", ["zero", "drop"])
+def test_profile_equals_its_parts(spark, culture, target_nulls):
+    spoiled = culture.withColumns({
+        "Scenario": F.when(F.col("Scenario") != 7, F.col("Scenario")),
+        "Biomass_g_L": F.when(F.coalesce("Scenario", F.lit(7)) != 9, F.col("Biomass_g_L")),
+    })
+    seen = profile(spoiled, target_nulls=target_nulls)
+    leaks = seen.leaks(spoiled.columns, 0.95, ["Cell_Concentration_cells_mL"])
+    assert leaks == drop_leaks(spoiled)[1]
+    report = {r.feature: r.r for r in leak_report(spoiled).where("not known").collect()}
+    assert report.keys() == seen.correlations.keys()
+    assert all(seen.correlations[c] == (None if r is None else pytest.approx(r, abs=1e-12))
+               for c, r in report.items())
+    assert seen.levels == phase_levels(spoiled)
+    cleaned = clean_invalid(spoiled, target_nulls=target_nulls)
+    want = sorted(r[0] for r in distinct_groups(cleaned, "Scenario").collect())
+    assert sorted(r[0] for r in seen.groups.collect()) == want
+    assert (9 in want) == (target_nulls == "zero") and 0 in want and 7 not in want
+    seen.release()
+    empty = profile(spoiled.where("false"))
+    assert empty.levels == [] and empty.groups.count() == 0 and not empty.correlations
+    empty.release()

@@ -75,8 +75,41 @@ def test_spread_leaves_large_scans_alone(spark):
     assert tables.spread(many, "id").rdd.getNumPartitions() == 64
 
 
-def test_csv_files_with_swapped_columns_are_an_error(spark, tmp_path):
+def mixed_folder(path):
+    (path / "a.csv").write_text("pH,Time_h,Flow\n8.5,2,1\nbad,3,2\n7,5\n")
+    (path / "b c.csv").write_text('Time_h,"Flow",pH,Note\n2,0.5,8.5,x\n')
+    (path / "c.csv").write_text("Flow,Time_h,pH\n")
+    (path / "d.csv").write_text("")
+    return str(path)
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    df = tables.read_observations(spark, mixed_folder(tmp_path), rejects="_rejected")
+    assert dict(df.dtypes) == {"pH": "double", "Time_h": "double", "Flow": "double",
+                               "Note": "string", "_rejected": "string"}
+    assert df.columns[-1] == "_rejected"
+    rows = sorted((tuple(r) for r in df.collect()), key=str)
+    assert rows == sorted([(8.5, 2.0, 1.0, None, None), (None, 3.0, 2.0, None, "bad,3,2"),
+                           (7.0, 5.0, None, None, "7,5"), (8.5, 2.0, 0.5, "x", None)], key=str)
+    # a line is rejected for columns that a query does not select, too
+    assert df.where("_rejected is not null").count() == 2
+
+
+def test_csv_with_a_schema_has_its_columns(spark, tmp_path):
+    wanted = T._parse_datatype_string("pH double, Light double, Time_h double")
+    df = tables.read_observations(spark, mixed_folder(tmp_path), schema=wanted)
+    assert df.schema.names == ["pH", "Light", "Time_h"] and df.count() == 4
+    assert df.where("Light is not null").count() == 0
+    assert df.where("pH = 8.5 and Time_h = 2").count() == 2
+    (tmp_path / "none").mkdir()
+    (tmp_path / "none" / "d.csv").write_text("")
+    assert tables.read_observations(spark, str(tmp_path / "none"), schema=wanted).count() == 0
+    with pytest.raises(tables.ObservationsNotFound):
+        tables.read_observations(spark, str(tmp_path / "none"))
+
+
+def test_one_header_for_all_files_refuses_another(spark, tmp_path):
     (tmp_path / "a.csv").write_text("pH,Time_h\n8.5,2\n")
     (tmp_path / "b.csv").write_text("Time_h,pH\n2,8.5\n")
     with pytest.raises(Exception, match="header"):
-        tables.read_observations(spark, str(tmp_path)).collect()
+        tables.read_observations(spark, str(tmp_path), each_header=False).collect()
