@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
 A node splits at the median projection onto the difference of two of its points. A
-query meets the leaves of all trees in one order, least margin on the wrong side first;
-what lies in them is ranked again by the exact cosine. How many leaves, and at which
+query searches all trees through one priority queue, least margin on the wrong side first;
+what lies in the leaves it meets is ranked again by the exact cosine. How many leaves, and at which
 depth the trees are cut, follows from the exact neighbours of at most PROVED queries:
 TARGET of these must be met, at least cost, and no query meets fewer than PROBES leaves.
 
@@ -20,6 +20,8 @@ count once; an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -123,16 +125,39 @@ def leaves_of(forest: Forest, unit: np.ndarray, entry: np.ndarray) -> np.ndarray
     return out
 
 
-def leaf_order(forest: Forest, margins: np.ndarray) -> np.ndarray:
-    """All leaves (tree * leaves + leaf) as one query meets them, best first."""
-    cost = np.full((len(margins), 1), -np.inf, margins.dtype)
-    for level in range(forest.depth):
-        margin = margins[:, (1 << level) - 1:(2 << level) - 1]
-        left = np.where(margin > 0, margin, -np.inf)
-        right = np.where(margin > 0, -np.inf, -margin)
-        cost = np.stack([np.maximum(cost, left), np.maximum(cost, right)], axis=2)
-        cost = cost.reshape(len(margins), -1)
-    return np.argsort(cost.ravel(), kind="stable")
+def best_first(forest: Forest, margins: np.ndarray) -> Iterator[int]:
+    """Leaves (tree * leaves + leaf) as one query meets them, from one queue over all trees.
+
+    The node with the least margin on the wrong side is taken out and followed down to the leaf
+    on the query's own side; every child passed by goes into the queue with its margin, or its
+    parent's if that is greater.
+    """
+    inner = (1 << forest.depth) - 1
+    queue = [(0.0, tree, 0) for tree in range(len(margins))]
+    while queue:
+        cost, tree, node = heapq.heappop(queue)
+        while node < inner:
+            margin = margins.item(tree, node)
+            left, right = 2 * node + 1, 2 * node + 2
+            node, other = (right, left) if margin > 0 else (left, right)
+            heapq.heappush(queue, (max(cost, abs(margin)), tree, other))
+        yield (tree << forest.depth) + node - inner
+
+
+def places_met(order: Iterator[int], leaves: np.ndarray) -> list[int]:
+    """Places in `order` at which the first leaf of each row of `leaves` is met, ascending."""
+    waiting: dict[int, list[int]] = {}
+    for row, own in enumerate(leaves.tolist()):
+        for leaf in own:
+            waiting.setdefault(leaf, []).append(row)
+    open_rows, places = set(range(len(leaves))), []
+    for place, leaf in enumerate(order):
+        for row in open_rows.intersection(waiting.get(leaf, ())):
+            open_rows.remove(row)
+            places.append(place)
+        if not open_rows:
+            break
+    return places
 
 
 def exact_neighbours(index: DataFrame, asked: list[tuple], k: int) -> DataFrame:
@@ -186,12 +211,9 @@ def settle(forest: Forest, index: DataFrame, n: int, k: int) -> tuple[Forest, in
         inner = (1 << depth) - 1
         cut = Forest(forest.directions[:, :inner], forest.thresholds[:, :inner], depth)
         at = (trees << depth) + (leaf >> (forest.depth - depth))
-        met = np.zeros(len(found), np.int64)
+        met = []
         for i, q in enumerate(queries):
-            order = leaf_order(cut, cut.directions @ q - cut.thresholds)
-            place = np.empty_like(order)
-            place[order] = np.arange(len(order))
-            met[query == i] = place[at[query == i]].min(axis=1)
+            met += places_met(best_first(cut, cut.directions @ q - cut.thresholds), at[query == i])
         probes = max(PROBES, int(np.sort(met)[math.ceil(TARGET * len(met)) - 1]) + 1)
         cost = probes * (LEAF_COST + n / (1 << depth))
         if cost < least:
@@ -283,8 +305,9 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
                 query = _unit(_matrix(some.column(1))).astype(np.float32)
                 leaf, rows = [], []
                 for i, q in enumerate(query):
-                    order = leaf_order(forest, forest.directions @ q - forest.thresholds)
-                    tree, x = np.divmod(order[:leaves], 1 << forest.depth)
+                    order = best_first(forest, forest.directions @ q - forest.thresholds)
+                    met = np.fromiter(itertools.islice(order, leaves), np.int64)
+                    tree, x = np.divmod(met, 1 << forest.depth)
                     leaf.append((tree << 32) + x)
                     rows += [i] * len(x)
                 yield pa.RecordBatch.from_arrays(
