@@ -26,6 +26,7 @@ OVERHEAD = 16        # bytes that a row counts besides its text
 BINS = 4096
 KEY_BITS = 62        # of the ordering key: dimension first, then text hash
 DIMENSION_BITS = 30
+VALUE_BYTES = 200    # assumed of a metadata value, where its table may be broadcast
 SLOT_ROWS = 50_000   # rows of a shard that are numbered together
 
 
@@ -42,28 +43,50 @@ class Node:
     right: Node | None = None
 
 
-def _unit(text: Column) -> Column:
-    """A text value on the unit interval, by its hash; null is 0."""
-    return F.coalesce(F.crc32(text.cast("string")) / F.lit(2.0**32), F.lit(0.0))
+def value_ranks(docs: DataFrame, name: str) -> DataFrame:
+    """(value, unit): the middle rank of each text value among all rows, as a share of them.
+
+    So a dimension is as wide as the rows that its values tell apart. Values are counted by range
+    of their order: a range is summed by itself, then starts at the sum of those before it.
+    """
+    counts = docs.groupBy(F.col(f"`{name}`").cast("string").alias("value")).agg(
+        F.count("*").alias("n")).orderBy(F.col("value").asc_nulls_first())
+    ranged = written(counts.withColumn("range", F.spark_partition_id()), "values")
+    sums = ranged.groupBy("range").agg(F.sum("n").alias("rows"))   # a row for each range
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("range", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("start"),
+                         F.sum("rows").over(Window.partitionBy()).alias("total"))
+    within = (Window.partitionBy("range").orderBy(F.col("value").asc_nulls_first())
+              .rowsBetween(Window.unboundedPreceding, -1))
+    place = F.col("start") + F.coalesce(F.sum("n").over(within), F.lit(0)) + F.col("n") / 2
+    return written(ranged.join(F.broadcast(starts), "range").select(
+        "value", (place / F.col("total")).alias("unit")), "ranks")
 
 
 def metadata(docs: DataFrame, id_col: str, text_col: str, dimensions: dict[str, str]) -> DataFrame:
     """(doc_id, size, text_crc32, row, k0...): a narrow written table with ordering keys.
 
-    `dimensions` names columns and their kind: `size` (log of the bytes) or `value`.
+    `dimensions` names columns and their kind: `size` (log of the bytes) or `value` (rank).
     """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + OVERHEAD
     tie = F.shiftrightunsigned(F.xxhash64(text_col), 64 - (KEY_BITS - DIMENSION_BITS))
     top = (1 << DIMENSION_BITS) - 1
-    keys = []
-    for k, (name, kind) in enumerate(dimensions.items()):
-        unit = F.log2(size) / 64.0 if kind == "size" else _unit(F.col(name))
-        keys.append((F.shiftleft(F.floor(unit * top).cast("long"), KEY_BITS - DIMENSION_BITS)
-                     .bitwiseOR(tie)).alias(f"k{k}"))
-    return written(docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), size.alias("size"),
+    values = [name for name, kind in dimensions.items() if kind != "size"]
+    # Texts end here: what follows may shuffle.
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), size.alias("size"), tie.alias("tie"),
         F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("row"), *keys), "metadata")
+        *[F.col(f"`{name}`").cast("string").alias(f"value_{i}") for i, name in enumerate(values)])
+    units = {name: F.col(f"unit_{i}") for i, name in enumerate(values)}
+    for i, name in enumerate(values):
+        ranks = value_ranks(docs, name).toDF("ranked", f"unit_{i}")
+        same = F.col(f"value_{i}").eqNullSafe(F.col("ranked"))
+        rows = rows.join(join_side(ranks, VALUE_BYTES), same).drop("ranked")
+    places = [units.get(name, F.log2("size") / 64.0) for name in dimensions]
+    return written(rows.select(
+        "doc_id", "size", "text_crc32", F.monotonically_increasing_id().alias("row"),
+        *[F.shiftleft(F.floor(unit * top).cast("long"), KEY_BITS - DIMENSION_BITS)
+          .bitwiseOR(F.col("tie")).alias(f"k{k}") for k, unit in enumerate(places)]), "metadata")
 
 
 def _shard(node: Node) -> Column:
