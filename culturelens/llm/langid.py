@@ -97,11 +97,14 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> Model
             F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
         .groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     marked = F.concat(F.lit("^"), "word", F.lit("$"))
-    grams = words.select("lang", "n", F.explode(F.concat(*[
-        F.transform(F.slice(F.sequence(F.lit(1), F.length(marked)), F.lit(1),
-                            F.greatest(F.length(marked) - (order - 1), F.lit(0))),
-                    lambda i, order=order: F.substring(marked, i, F.lit(order)))
-        for order in ORDERS])).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+    def cut(order: int) -> Column:
+        starts = F.slice(F.sequence(F.lit(1), F.length(marked)), F.lit(1),
+                         F.greatest(F.length(marked) - (order - 1), F.lit(0)))
+        return F.transform(starts, lambda i: F.substring(marked, i, F.lit(order)))
+
+    grams = words.select("lang", "n", F.explode(F.concat(*map(cut, ORDERS))).alias("gram")).groupBy(
+        "lang", "gram").agg(F.sum("n").alias("n"))
 
     def most(counts: DataFrame, key: str, limit: int, *within: Column) -> list[tuple]:
         order = Window.partitionBy("lang", *within).orderBy(F.col("n").desc(), key)

@@ -2,14 +2,17 @@
 
 import base64
 import itertools
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
@@ -207,6 +210,79 @@ def test_nearest_keeps_recall_where_leaves_are_many(spark, monkeypatch):
     assert len(fixed & want) < 0.9 * len(want)
 
 
+def test_leaves_come_from_one_queue_in_order_of_their_margins():
+    """Against every leaf priced by itself: the greatest margin on the wrong side of its path."""
+    rng = np.random.default_rng(3)
+    points = rng.standard_normal((400, 6))
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    for depth in (0, 1, 4):
+        forest = ann.grow(points, 3, depth)
+        for q in rng.standard_normal((20, 6)):
+            margins = forest.directions @ (q / np.linalg.norm(q)) - forest.thresholds
+            price = {}
+            for tree, leaf in itertools.product(range(3), range(1 << depth)):
+                node, worst = leaf + (1 << depth) - 1, 0.0
+                while node:
+                    above, is_right = (node - 1) // 2, node % 2 == 0
+                    margin = margins[tree, above]
+                    worst = max(worst, abs(margin) if is_right != (margin > 0) else 0.0)
+                    node = above
+                price[(tree << depth) + leaf] = worst
+            order = list(ann.best_first(forest, margins))
+            assert sorted(order) == sorted(price)
+            assert [price[x] for x in order] == sorted(price.values())
+            wanted = rng.integers(0, 1 << depth, (5, 3)) + (np.arange(3) << depth)
+            assert ann.places_met(iter(order), wanted) == sorted(
+                min(order.index(x) for x in row) for row in wanted.tolist())
+
+
+def test_language_model_matches_a_plain_fit(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    words, grams = {}, {}
+    for _, text, lang in rows:
+        for word in regex.findall(r"\p{L}+", (text or "").lower()) if lang else ():
+            words.setdefault(lang, Counter())[word] += 1
+            marked = f"^{word}$"
+            grams.setdefault(lang, Counter()).update(
+                marked[i:i + n] for n in (1, 2, 3, 4) for i in range(len(marked) - n + 1))
+    assert max(map(len, words.values())) < langid.WORDS
+    assert max(Counter(map(len, g)).most_common(1)[0][1] for g in grams.values()) < langid.GRAMS
+    model = langid.fit(docs, "doc_id", "text", "lang")
+    langs = sorted(words)
+    total = {lang: sum(words[lang].values()) for lang in langs}
+    assert model.languages == langs
+
+    def logs(counts, key):
+        return [math.log((counts[lang][key] or langid.UNSEEN) / total[lang]) for lang in langs]
+
+    known, parts = set().union(*words.values()), set().union(*grams.values())
+    assert model.words.keys() == known and model.grams.keys() == parts
+    for counts, index, table in ((words, model.words, model.word_scores),
+                                 (grams, model.grams, model.gram_scores)):
+        assert all(np.allclose(table[i], logs(counts, key)) for key, i in index.items())
+
+    def score(word):
+        if word in known:
+            return logs(words, word)
+        marked = f"^{word}$"
+        for n in (4, 3, 2, 1):
+            cut = [marked[i:i + n] for i in range(len(marked) - n + 1)]
+            cut = [logs(grams, x) for x in cut if x in parts]
+            if cut:
+                return np.mean(cut, axis=0)
+        return np.zeros(len(langs))
+
+    asked = [(i, f"{(t or '')[:300]} unzweifelhaft quixotry zzyzx", None) for i, t, _ in rows[:60]]
+    frame = spark.createDataFrame(asked, "doc_id long, text string, lang string")
+    got = {r.row.doc_id: r for r in langid.predict(frame, model).collect()}
+    for i, text, _ in asked:
+        mean = np.mean([score(w) for w in regex.findall(r"\p{L}+", text.lower())], axis=0)
+        best = int(np.argmax(mean))
+        assert got[i].lang_pred == langs[best]
+        assert got[i].score == pytest.approx(1 / np.exp(mean - mean[best]).sum())
+
+
 def test_language_id_on_held_out_documents(spark, edge, none):
     found = catalog.op4_language_id(spark, DATA).toPandas().merge(
         spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "lang").toPandas())
@@ -312,6 +388,49 @@ def test_shards_are_even_and_slots_gapless(spark, edge, none):
     assert sharding.shard_documents(none, 4, catalog.DIMENSIONS).count() == 0
 
 
+def plain_shards(rows, shards, first=0):
+    """{id: shard} by a plain k-d tree over (id, size, keys): exact weighted medians."""
+    if shards == 1 or not rows:
+        return {r[0]: first for r in rows}
+    spread = [max(r[2][k] for r in rows) - min(r[2][k] for r in rows) for k in range(len(rows[0][2]))]
+    rows = sorted(rows, key=lambda r: r[2][spread.index(max(spread))])
+    want, n = sum(r[1] for r in rows) * (shards // 2) / shards, 0
+    while n < len(rows) and rows[n][1] <= want:
+        want -= rows[n][1]
+        n += 1
+    n += n < len(rows) and want > rows[n][1] / 2
+    return (plain_shards(rows[:n], shards // 2, first)
+            | plain_shards(rows[n:], shards - shards // 2, first + shards // 2))
+
+
+def test_shards_match_a_plain_tree(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(i, rng.choice([3, 30, 400])), rng.choice([None, "de", "en", "en", "fr"]),
+             f"s{min(rng.randrange(40), 25)}") for i in range(600)]
+    rows.append((600, None, "en", None))
+
+    def unit(own, all_values):
+        order = [(v is not None, v or "") for v in all_values]
+        own = (own is not None, own or "")
+        return (sum(v < own for v in order) + order.count(own) / 2) / len(order)
+
+    units = {c: {v: unit(v, [r[c] for r in rows]) for v in {r[c] for r in rows}} for c in (2, 3)}
+
+    def key(value, text):
+        tie = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), 42)
+        return (math.floor(value * ((1 << 30) - 1)) << 32) | tie >> 32
+
+    plain = []
+    for i, text, lang, source in rows:
+        size = len((text or "").encode()) + 16
+        plain.append((i, size, (key(math.log(size) / math.log(2) / 64, text),
+                                key(units[2][lang], text), key(units[3][source], text))))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for shards in (2, 7, 40):
+        got = sharding.shard_documents(frame, shards, catalog.DIMENSIONS, tolerance=0.0)
+        assert {r.doc_id: r.shard for r in got.collect()} == plain_shards(plain, shards)
+
+
 def test_bpe_matches_tiktoken(spark, edge, none):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
