@@ -588,6 +588,27 @@ def test_line_dedup_pairs_every_similar_set(spark):
                      if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
 
 
+def test_rarest_shingles_meet_again_only_after_a_gap(spark):
+    """Sets alike in long stretches, in components of which several are the largest somewhere."""
+    draw = random.Random(5)
+    bases = [[draw.getrandbits(63) - 2**62 for _ in range(120)] for _ in range(2)]
+    sets, component = {}, {}
+    for i in range(90):
+        own = list(bases[i % 2]) + draw.sample(bases[1 - i % 2], 6)
+        for k in draw.sample(range(120), draw.randint(0, 22)):
+            own[k] = draw.getrandbits(63) if draw.random() < 0.5 else k
+        sets[i], component[i] = set(own), i if i > 60 else i % 4
+    frame = spark.createDataFrame([(i, list(x)) for i, x in sets.items()],
+                                  "line_id long, set array<long>")
+    members = spark.createDataFrame(list(component.items()), "line_id long, component long")
+    pairs = line_dedup.across(members, frame, 0.8)
+    found = {(r.a, r.b) for r in line_dedup.verified(pairs, frame, 0.8).collect()}
+    assert found == {(a, b) for a, b in itertools.combinations(sets, 2)
+                     if component[a] != component[b]
+                     and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(found) > 50
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     def long(seed):
         return "\n".join("the of and " + prose(seed * 10 + k, 30) for k in range(3))
