@@ -270,3 +270,20 @@ def test_forest_rows_are_bucketed_alike(rows):
                  for r in (rows.coalesce(1), rows.repartition(9)))
     places = [{r.row_id: r.p for r in t.collect()} for t in (one, many)]
     assert places[0] == places[1] and len(set(places[0].values())) == 5
+
+
+def test_boosting_deals_its_rows_and_counts_one_of_two_siblings(spark, monkeypatch):
+    lone = spark.range(40_000).coalesce(1).selectExpr(
+        "cast(id % 97 as double) a", "cast(id % 89 as double) b", "cast(id % 97 + id % 7 as double) y",
+        "cast(id as string) row_id")
+    tasks, counted = [], []
+    histograms = boosting.histograms
+
+    def seen(blocks, tree, nodes, *rest):
+        tasks.append(blocks.getNumPartitions())
+        counted.append(len(nodes))
+        return histograms(blocks, tree, nodes, *rest)
+
+    monkeypatch.setattr(boosting, "histograms", seen)
+    boosting.fit_boosted(lone, ["a", "b"], "y", "row_id", rounds=2, depth=4)
+    assert min(tasks) == 3 and counted == [1, 1, 2, 4] * 2
