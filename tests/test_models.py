@@ -287,3 +287,21 @@ def test_boosting_deals_its_rows_and_counts_one_of_two_siblings(spark, monkeypat
     monkeypatch.setattr(boosting, "histograms", seen)
     boosting.fit_boosted(lone, ["a", "b"], "y", "row_id", rounds=2, depth=4)
     assert min(tasks) == 3 and counted == [1, 1, 2, 4] * 2
+
+
+def test_networks_deal_their_rows_and_read_them_once(spark, rows, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    table = rows.unionByName(rows.withColumn("row_id", F.concat("row_id", F.lit("x"))))
+    lone = spark.createDataFrame(table.coalesce(1).rdd.map(seen), table.schema)
+    tasks = []
+    gradients = nets.gradients
+    monkeypatch.setattr(nets, "TASK_ROWS", 100)
+    monkeypatch.setattr(nets, "gradients", lambda blocks, *rest: tasks.append(
+        blocks.getNumPartitions()) or gradients(blocks, *rest))
+    nets.fit_nets(lone, rows, NAMES, "y", "row_id", ["dense", "gated"], epochs=4)
+    assert tasks == [6] * 4 and read.value == table.count()
