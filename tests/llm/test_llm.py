@@ -609,6 +609,20 @@ def test_rarest_shingles_meet_again_only_after_a_gap(spark):
     assert len(found) > 50
 
 
+def test_line_dedup_loses_no_link_of_lines_that_share_one_large_bucket(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for k in range(30):
+        line = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12))
+        rows += [(2 * k, line), (2 * k + 1, line[:-1] + "#")]
+    monkeypatch.setattr(line_dedup, "bands", lambda signed: signed.select(
+        "line_id", F.lit(1).cast("long").alias("band")).distinct())
+    lines = line_dedup.text_lines(spark.createDataFrame(rows, "id long, t string"), "id", "t")
+    distinct = lines.groupBy("line_id").agg(F.count("*").alias("n"))
+    found = line_dedup.line_components(lines, distinct, 0.8).groupBy("component").count()
+    assert sorted(r["count"] for r in found.collect()) == [2] * 30
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     def long(seed):
         return "\n".join("the of and " + prose(seed * 10 + k, 30) for k in range(3))
