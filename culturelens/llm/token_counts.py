@@ -29,6 +29,7 @@ from culturelens.llm.pieces import Cutter
 
 SHIFT = 2.7
 SCALE = 1_000_000
+WHOLE = 1 << 32      # a path's value is its score in WHOLEs, less one for each token
 CACHE = 250_000      # counts kept by a task
 TEXTS = 256          # texts whose new pre-tokens form one trie
 
@@ -46,7 +47,8 @@ def unigram_scores(path: str) -> tuple[dict[bytes, int], int]:
 def trie_counts(words: Iterable[bytes], scores: dict[bytes, int], longest: int) -> dict[bytes, int]:
     """Token count of each distinct word; sorted words walk the trie depth first."""
     counts = {}
-    best: list[tuple[int, int]] = [(0, 0)]     # (score, -tokens) at each node of the path
+    best: list[int | None] = [0]     # the value at each node of the path
+    score_of = scores.get
     path = b""
     for word in sorted(set(words)):
         shared = 0
@@ -58,15 +60,14 @@ def trie_counts(words: Iterable[bytes], scores: dict[bytes, int], longest: int)
         for end in range(shared + 1, len(word) + 1):
             top = None
             for start in range(max(0, end - longest), end):
-                score = scores.get(word[start:end])
+                score = score_of(word[start:end])
                 if score is not None:
-                    before = best[start]
-                    found = (before[0] + score, before[1] - 1)
+                    found = best[start] + score * WHOLE - 1
                     if top is None or found > top:
                         top = found
             best.append(top)
         path = word
-        counts[word] = -best[-1][1]
+        counts[word] = -best[-1] % WHOLE
     return counts
 
 
