@@ -44,11 +44,23 @@ def unigram_scores(path: str) -> tuple[dict[bytes, int], int]:
     return scores, max(map(len, scores))
 
 
-def trie_counts(words: Iterable[bytes], scores: dict[bytes, int], longest: int) -> dict[bytes, int]:
-    """Token count of each distinct word; sorted words walk the trie depth first."""
+def all_endings(scores: dict[bytes, int]) -> dict[bytes, int | None]:
+    """Every ending of a token, and what a path gains by it if it is a token itself."""
+    found = {token[at:]: None for token in scores for at in range(1, len(token))}
+    found.update((token, score * WHOLE - 1) for token, score in scores.items())
+    return found
+
+
+def trie_counts(words: Iterable[bytes], scores: dict[bytes, int], longest: int,
+                endings: dict[bytes, int | None] | None = None) -> dict[bytes, int]:
+    """Token count of each distinct word; sorted words walk the trie depth first.
+
+    A token that ends at a node is looked for backwards, as far as bytes end some token.
+    """
+    endings = all_endings(scores) if endings is None else endings
     counts = {}
     best: list[int | None] = [0]     # the value at each node of the path
-    score_of = scores.get
+    gain_of = endings.get
     path = b""
     for word in sorted(set(words)):
         shared = 0
@@ -59,10 +71,12 @@ def trie_counts(words: Iterable[bytes], scores: dict[bytes, int], longest: int)
         del best[shared + 1:]
         for end in range(shared + 1, len(word) + 1):
             top = None
-            for start in range(max(0, end - longest), end):
-                score = score_of(word[start:end])
-                if score is not None:
-                    found = best[start] + score * WHOLE - 1
+            for start in range(end - 1, max(0, end - longest) - 1, -1):
+                gain = gain_of(word[start:end], False)
+                if gain is False:
+                    break
+                if gain is not None:
+                    found = best[start] + gain
                     if top is None or found > top:
                         top = found
             best.append(top)
@@ -76,6 +90,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
     """(doc_id, n_pieces, n_tokens) of every row, in one pass without a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores, longest = unigram_scores(path)
+        endings = all_endings(scores)
         cut = Cutter(pattern)
         known: dict[str, tuple[int, int]] = {}      # chunk: its pre-tokens and tokens
         words: dict[str, int] = {}                  # pre-token: its tokens
@@ -87,7 +102,7 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id
                     known, words = {}, {}
                 new = {c: cut.pieces(c) for c in set().union(*chunks) - known.keys()}
                 unseen = {p for found in new.values() for p in found} - words.keys()
-                counts = trie_counts([p.encode() for p in unseen], scores, longest)
+                counts = trie_counts([p.encode() for p in unseen], scores, longest, endings)
                 words.update((p, counts[p.encode()]) for p in unseen)
                 known.update((c, (len(f), sum(map(words.__getitem__, f)))) for c, f in new.items())
                 for some in chunks:

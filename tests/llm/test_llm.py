@@ -354,6 +354,22 @@ def test_token_counts_match_brute_force(edge, none):
     assert token_counts.count_tokens(none, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_tokens_are_looked_for_only_as_far_as_bytes_end_one():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            Counted.asked += 1
+            return super().get(*args)
+
+    scores = {bytes([x]): -3 for x in range(256)} | {b"ab": -4, b"q" * 40: -5}
+    words = [b"xyzab" * 8, b"q" * 40, b"q" * 39, b"aab"]
+    found = token_counts.trie_counts(
+        words, scores, 40, Counted(token_counts.all_endings(scores)))
+    assert found == {w: best_count(w, scores) for w in words}
+    assert Counted.asked < 40 * 41 // 2 + 4 * 40    # the run of q; elsewhere two or three a byte
+
+
 def test_token_counts_of_whole_texts_with_a_small_cache(edge, monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE", 5)
     monkeypatch.setattr(token_counts, "TEXTS", 2)
