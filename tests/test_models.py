@@ -158,6 +158,18 @@ def test_native_scores_equal_the_forward_pass_without_python(rows, kind):
     assert np.allclose(got, nets.forward(spec, params, x)[0], atol=1e-9)
 
 
+@pytest.mark.parametrize("kind", ["dense", "gated"])
+def test_native_scores_are_plain_arithmetic_and_keep_all_columns(rows, kind):
+    spec, params = spec_for(kind), nets.initial_params(kind, 3, seed=4)
+    regressor = nets.net_regressor("n", spec, params, NAMES, native=True)
+    holed = rows.withColumn(NAMES[0], F.when(F.col("row_id") != rows.first().row_id, F.col(NAMES[0])))
+    scored = regressor.predict(holed, "p")
+    assert scored.columns == [*rows.columns, "p"] and scored.count() == rows.count()
+    assert "lambda" not in scored._jdf.queryExecution().optimizedPlan().toString().lower()
+    twice = regressor.predict(scored.withColumnRenamed("p", "q"), "p")
+    assert twice.where(~F.col("p").eqNullSafe(F.col("q"))).count() == 0
+
+
 def test_networks_go_on_from_a_written_checkpoint(rows, tmp_path):
     def fit(epochs, folder=None):
         return nets.fit_nets(rows, rows, NAMES, "y", "row_id", ["dense", "gated"], epochs=epochs,
