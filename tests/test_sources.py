@@ -3,6 +3,8 @@ from pyspark.sql import types as T
 
 from culturelens.roles import candidate_columns
 from culturelens.sources import tables
+from culturelens.sources.culture import culture_view
+from culturelens.sources.session import COMPILED, METHOD_LIMIT
 
 
 def test_missing_table_is_one_clear_error(spark, tmp_path):
@@ -113,3 +115,16 @@ def test_one_header_for_all_files_refuses_another(spark, tmp_path):
     (tmp_path / "b.csv").write_text("Time_h,pH\n2,8.5\n")
     with pytest.raises(Exception, match="header"):
         tables.read_observations(spark, str(tmp_path), each_header=False).collect()
+
+
+def test_methods_that_the_jvm_would_interpret_are_cut(spark):
+    given = spark.conf.getAll.get(METHOD_LIMIT)
+    try:
+        spark.conf.unset(METHOD_LIMIT)
+        culture_view(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(METHOD_LIMIT) == str(COMPILED)
+        spark.conf.set(METHOD_LIMIT, "9999")    # the session's own choice stays
+        culture_view(spark, "/root/testdata/sf0.001")
+        assert spark.conf.get(METHOD_LIMIT) == "9999"
+    finally:
+        spark.conf.unset(METHOD_LIMIT) if given is None else spark.conf.set(METHOD_LIMIT, given)
