@@ -8,6 +8,7 @@ from culturelens.operators.features import phase_levels
 from culturelens.operators.holdout import distinct_groups
 from culturelens.operators.leakage import drop_leaks, leak_report
 from culturelens.operators.profile import profile
+from culturelens.plans import run as run_steps
 from culturelens.plans.run import RunConfig, run
 from culturelens.streaming.scoring import score_stream
 
@@ -109,6 +110,31 @@ def test_result_does_not_depend_on_the_partitioning(culture):
     many.release()
 
 
+def test_cached_rows_of_a_task_are_bounded(spark, culture, monkeypatch):
+    few = culture.coalesce(2)
+    plain = run(few, FAST)
+    monkeypatch.setattr(run_steps, "TASK_ROWS", 400)
+    bounded = run(few, FAST)
+    n = culture.count()
+    sizes = [r["count"] for r in bounded.cached[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == n and max(sizes) < 800 and len(sizes) >= n // 800
+    for column in ("r2", "rmse", "bias"):
+        want, got = ([r[column] for r in f.metrics.orderBy("position").collect()]
+                     for f in (plain, bounded))
+        assert got == pytest.approx(want, rel=1e-6, abs=1e-9)
+    plain.release()
+    bounded.release()
+
+
+@pytest.mark.parametrize("drop", [(), ("Biomass_g_L",), ("Biomass_g_L", "Growth_Phase")])
+def test_profile_counts_the_rows(culture, drop):
+    some = culture.drop(*drop)
+    for nulls in ("zero", "drop"):
+        seen = profile(some, target_nulls=nulls)
+        assert seen.n_rows == some.count()
+        seen.release()
+
+
 def test_the_source_is_scanned_twice(spark, culture):
     scanned = spark.sparkContext.accumulator(0)
 
