@@ -3,10 +3,14 @@
 import base64
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -639,6 +643,62 @@ def test_line_dedup_loses_no_link_of_lines_that_share_one_large_bucket(spark, mo
     assert sorted(r["count"] for r in found.collect()) == [2] * 30
 
 
+def test_lines_that_agree_in_enough_minima_meet_across_components(spark):
+    """Every such pair, also where only one row of the square has three minima in common."""
+    draw = random.Random(9)
+    bases = [[draw.getrandbits(31) for _ in range(25)] for _ in range(2)]
+    kept = [0, 1, 2, 5, 6, 7, 10, 11, 12, 15, 16, 20, 21]
+    signs = [[x if k in kept else draw.getrandbits(31) for k, x in enumerate(bases[0])]]
+    for i in range(80):
+        lost = draw.sample(range(25), draw.randint(5, 14))
+        signs.append([draw.getrandbits(31) if k in lost else x
+                      for k, x in enumerate(bases[i % 2])])
+    signs.append([x ^ 1 << 20 for x in signs[1]])
+    rows = [(i, half, x) for i, x in enumerate(signs) for half in ((False, True)[i % 3 > 0:])]
+    signed = spark.createDataFrame(rows, "line_id long, half boolean, signature array<int>")
+    component = {i: i if i > 50 else i % 3 for i in range(len(signs))}
+    members = spark.createDataFrame(list(component.items()), "line_id long, component long")
+    found = [(r.a, r.b) for r in line_dedup.agreeing_across(members, signed).collect()]
+    want = {(i, j) for (i, h, x), (j, g, y) in itertools.combinations(rows, 2)
+            if h == g and component[i] != component[j]
+            and sum(map(int.__eq__, x, y)) >= line_dedup.LEAST_AGREED}
+    assert {tuple(sorted(p)) for p in found} == want and len(found) == len(want) > 50
+
+
+def test_parities_drop_no_similar_pair(spark):
+    draw = random.Random(3)
+    base = [draw.getrandbits(63) - 2**62 for _ in range(60)]
+    sets = {i: {draw.getrandbits(63) if draw.random() < i / 300 else x for x in base}
+            for i in range(60)}
+    frame = spark.createDataFrame([(i, list(x)) for i, x in sets.items()],
+                                  "line_id long, set array<long>")
+    pairs = list(itertools.combinations(sets, 2))
+    left = line_dedup.alike(spark.createDataFrame(pairs, "a long, b long"), frame, 0.8)
+    found = {(r.a, r.b) for r in left.collect()}
+    assert {(i, j) for i, j in pairs
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])} <= found
+    assert len(found) < len(pairs)
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    code = f"""
+import glob, sys
+sys.path.insert(0, {str(Path(corpus_pipeline.__file__).parent)!r})
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.local.dir", {str(tmp_path)!r} + "/local")
+         .config("spark.checkpoint.dir", {str(tmp_path)!r} + "/shared").getOrCreate())
+from culturelens.llm.common import DROP_SHUFFLES, written
+rows = written(spark.range(100000).selectExpr("id % 7777 as k").groupBy("k").count(), "counts")
+left = glob.glob({str(tmp_path)!r} + "/local/**/shuffle_*.data", recursive=True)
+assert rows.count() == 7777 and spark.conf.get(DROP_SHUFFLES, "false") == "false"
+print("files", len(left))
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True,
+                          env={**os.environ, "SPARK_LOCAL_DIRS": f"{tmp_path}/local"}, timeout=120)
+    assert "files 0" in done.stdout, done.stderr[-2000:]
+
+
 def test_pipeline_keeps_clean_documents(spark, tmp_path):
     def long(seed):
         return "\n".join("the of and " + prose(seed * 10 + k, 30) for k in range(3))
