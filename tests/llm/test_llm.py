@@ -27,6 +27,7 @@ from culturelens.llm import (
     ann, bpe, catalog, chat, components, langid, line_dedup, packing, quality, sharding, simhash,
     token_counts,
 )
+from culturelens.sources.session import COMPILED, METHOD_LIMIT
 
 DATA = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path(catalog.RANKS)
@@ -554,6 +555,18 @@ def test_line_dedup_loses_no_link_of_large_buckets(spark):
     assert {i: found.get(i, i) for i in sets} == {i: want[i] for i in sets}
 
 
+def test_line_dedup_keeps_its_bands_compiled(spark):
+    given = spark.conf.getAll.get(METHOD_LIMIT)
+    try:
+        spark.conf.unset(METHOD_LIMIT)
+        rows = [(1, "one line of a text\nanother line"), (2, "one line of a text")]
+        found = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert spark.conf.get(METHOD_LIMIT) == str(COMPILED)
+        assert sorted((r.row.doc_id, r.n_removed) for r in found.collect()) == [(1, 0), (2, 1)]
+    finally:
+        spark.conf.unset(METHOD_LIMIT) if given is None else spark.conf.set(METHOD_LIMIT, given)
+
+
 def test_rarest_shingles_find_every_pair_across_components(spark):
     rng = random.Random(8)
     sets = {i: rng.sample(range(14), rng.randint(5, 12)) for i in range(60)}
