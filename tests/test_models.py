@@ -116,6 +116,29 @@ def test_gradient_job_does_not_depend_on_the_partitioning(rows, arity):
         assert np.allclose(a[1], b[1], atol=1e-12) and np.allclose(a[1], alone[1], atol=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["dense", "gated"])
+def test_gradients_of_blocks_in_one_room_add_up(data, kind):
+    """Blocks of other sizes work in the same arrays; none sees what one before left there."""
+    x, y = data
+    seeds = np.arange(len(y), dtype=np.int64) * 977
+    spec, params, room = spec_for(kind), nets.initial_params(kind, 3, seed=6), nets.Room()
+    loss, grad = nets.loss_and_gradient(spec, params, x, y, seeds, 2)
+    parts = [slice(0, 130), slice(130, 137), slice(137, 300)]
+    found = [nets.loss_and_gradient(spec, params, x[s], y[s], seeds[s], 2, room) for s in parts]
+    assert loss == pytest.approx(sum(part for part, _ in found), rel=1e-12)
+    for name in params:
+        assert np.allclose(grad[name], sum(part[name] for _, part in found), atol=1e-9)
+
+
+def test_one_exponential_gives_sigmoid_and_tanh():
+    x = np.concatenate([np.linspace(-40, 40, 4001), [-1e6, -750.0, 0.0, 750.0, 1e6]])
+    sigmoid, tanh = -x, 2.0 * x
+    nets._one_over_exp_plus_one(sigmoid)
+    nets._one_over_exp_plus_one(tanh)
+    assert np.allclose(sigmoid, 0.5 * (1 + np.tanh(0.5 * x)), rtol=0, atol=1e-15)
+    assert np.allclose(1 - 2 * tanh, np.tanh(x), rtol=0, atol=1e-15)
+
+
 def test_dropout_rate_and_scale():
     mask = nets.keep_mask(np.arange(5000, dtype=np.int64), 1, 0, 20, 0.3)
     assert (mask == 0).mean() == pytest.approx(0.3, abs=0.01)
