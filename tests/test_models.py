@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from culturelens.operators import boosting
 from culturelens.operators import networks as nets
 from culturelens.operators import regressors as reg
+from culturelens.operators.workers import MANY, settle
 
 NAMES = ["a", "b", "c"]
 
@@ -139,6 +140,41 @@ def test_one_exponential_gives_sigmoid_and_tanh():
     assert np.allclose(1 - 2 * tanh, np.tanh(x), rtol=0, atol=1e-15)
 
 
+def test_workers_leave_what_they_imported_out_of_collections(spark):
+    def run(found):
+        import gc
+
+        import pandas  # noqa: F401 - a worker that scores holds its objects
+        list(found)
+        settle()
+        return [(gc.get_freeze_count(), len(gc.get_objects(2)))]
+
+    for _ in range(3):      # the first task of a worker comes before its first collection
+        seen = spark.sparkContext.parallelize(range(4), 1).mapPartitions(run).first()
+    assert seen[0] > MANY > seen[1]
+
+
+def test_rows_end_in_the_nodes_of_a_plain_descent():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        depth, width = rng.integers(1, 6), rng.integers(1, 9)
+        size = 2 ** (depth + 1) - 1
+        column, cut = np.full(size, -1), rng.integers(0, 255, size)
+        for k in range(2**depth - 1):
+            if (k == 0 or column[(k - 1) // 2] >= 0) and rng.random() < 0.8:
+                column[k] = rng.integers(0, width)
+        bins = np.asfortranarray(rng.integers(0, 256, (50, width)).astype(np.uint8))
+        for levels in (None, *range(depth + 1)):
+            want = []
+            for row in bins:
+                node = 0
+                for _ in range(depth if levels is None else levels):
+                    if column[node] >= 0:
+                        node = 2 * node + 1 + (row[column[node]] > cut[node])
+                want.append(node)
+            assert boosting.nodes_of((column, cut, None, None), bins, levels).tolist() == want
+
+
 def test_dropout_rate_and_scale():
     mask = nets.keep_mask(np.arange(5000, dtype=np.int64), 1, 0, 20, 0.3)
     assert (mask == 0).mean() == pytest.approx(0.3, abs=0.01)
