@@ -175,6 +175,19 @@ def test_rows_end_in_the_nodes_of_a_plain_descent():
             assert boosting.nodes_of((column, cut, None, None), bins, levels).tolist() == want
 
 
+def test_forest_is_the_same_whether_memory_holds_the_nodes(rows, monkeypatch):
+    found, asked = [], []
+    plain = reg.RandomForestRegressor
+    monkeypatch.setattr(reg, "RandomForestRegressor", lambda **k: asked.append(k) or plain(**k))
+    for room in (10**9, 0):
+        monkeypatch.setattr(reg, "storage_bytes", lambda spark, room=room: room)
+        model = reg.fit_forest(rows, NAMES, "y", "row_id", trees=5, depth=5, memory_mb=1)
+        found.append((model.importances, predicted(model, rows).tolist()))
+    assert [k["cacheNodeIds"] for k in asked] == [True, False]
+    assert np.allclose(found[0][0], found[1][0], rtol=1e-12)
+    assert np.allclose(found[0][1], found[1][1], rtol=1e-12)
+
+
 def test_dropout_rate_and_scale():
     mask = nets.keep_mask(np.arange(5000, dtype=np.int64), 1, 0, 20, 0.3)
     assert (mask == 0).mean() == pytest.approx(0.3, abs=0.01)
